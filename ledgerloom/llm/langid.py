@@ -13,15 +13,24 @@ from pyspark.sql import functions as F
 from .common import text_columns
 
 #: Bytes of the raw-content dictionary of one language, and rows looked at for it: the bounds of the fitted sample.
-DICTIONARY_BYTES = 96 << 10
+DICTIONARY_BYTES = 112 << 10
 SAMPLE_ROWS = 400
 #: Languages with fewer labelled rows are still learned; a corpus has at most this many labels.
 MAX_LANGUAGES = 256
 #: Text is encoded in pieces, so that each piece leans on the dictionary and not on the text's own beginning.
 PIECE_BYTES = 4096
 #: Relative gap of the two smallest encodings below which the prediction is rejected.
-MIN_MARGIN = 0.002
-LEVEL = 1
+MIN_MARGIN = 0.001
+LEVEL = 5
+
+#: Everything in ASCII but letters becomes a space.
+_SPACED = bytes(b if not b < 128 or chr(b).isalpha() else 32 for b in range(256))
+
+
+def letters(text: str) -> bytes:
+    """Lower-cased words of letters, one space between them: what is encoded, and what dictionaries hold."""
+    return b" ".join(text.lower().encode().translate(_SPACED).split())
+
 
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -54,7 +63,7 @@ class Model:
         """(language, score, accepted)."""
         if not text or not self.languages or not _LETTER.search(text):
             return "und", 0.0, False
-        sizes = self.sizes(text.encode())
+        sizes = self.sizes(letters(text))
         order = np.argsort(sizes, kind="stable")  # ties go to the first language by name
         best = sizes[order[0]]
         margin = 1.0 if len(sizes) == 1 else (sizes[order[1]] - best) / max(1, sizes[order[1]])
@@ -81,7 +90,7 @@ def fit(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     chosen = _smallest(ranked).toPandas()
     samples = {}
     for language, rows in chosen.sort_values(["lang", "k", "piece"]).groupby("lang"):
-        joined = "\n".join(dict.fromkeys(rows["piece"])).encode()
+        joined = b" ".join(letters(x) for x in dict.fromkeys(rows["piece"]))
         samples[language] = joined[:DICTIONARY_BYTES] if len(joined) > 8 else joined + b" " * 8
     return Model(samples)
 

@@ -24,7 +24,7 @@ KINDS = ("email", "ip", "card", "phone")
 #: Documents with a base span that training looks at, at most: those with the smallest hashed ids.
 SAMPLE_ROWS = 400
 WINDOW, STRIDE, REACH = 64, 32, 32
-HIDDEN, EMBED, STEPS, BATCH = 20, 12, 220, 48
+HIDDEN, EMBED, STEPS, BATCH = 16, 12, 200, 32
 #: An added span needs this mean probability over its characters.
 MIN_PROBABILITY = 0.95
 LABELS = 1 + 2 * len(KINDS)
@@ -352,10 +352,14 @@ def training_windows(labelled: list[tuple[str, list]], count: int = 3000, seed:
 
 def fit(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS, steps: int = STEPS) -> Tagger:
     """Trains a tagger on surroundings of base spans in `rows` documents at most, and on rewritten and invented values."""
-    docs = text_columns(documents, doc_id=doc_id, text=text).where(F.col("text").rlike("[0-9]|@"))
-    reach = f"(?s).{{0,{WINDOW}}}(?:[0-9][0-9 ().-]{{5,}}|[A-Za-z0-9._%+-]{{1,64}}@[A-Za-z0-9.-]{{1,64}}).{{0,{WINDOW}}}"
-    near = docs.select(F.xxhash64("doc_id", "text").alias("k"), F.expr(f"regexp_extract_all(text, '{reach}', 0)").alias("near")).where("size(near) > 0")
-    picked = near.orderBy("k").limit(rows).select("k", F.slice("near", 1, 4).alias("near")).toPandas()
+    docs = text_columns(documents, doc_id=doc_id, text=text).select(F.xxhash64("doc_id", "text").alias("k"), "text").where("text is not null")
+
+    def surroundings(batches):
+        for b in batches:
+            found = [(k, pick) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (pick := [t[max(0, x - WINDOW) : y + WINDOW] for _, x, y in base_spans(t)[:4]])]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([p for _, p in found], pa.list_(pa.string()))], names=["k", "near"])
+
+    picked = docs.mapInArrow(surroundings, "k long, near array<string>").orderBy("k").limit(rows).toPandas()
     labelled = [(x, base_spans(x)) for row in picked.sort_values("k")["near"] for x in row]
     tagger = Tagger()
     tagger.fit(*training_windows([(t, s) for t, s in labelled if s]), steps=steps)
