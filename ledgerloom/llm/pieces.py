@@ -186,6 +186,17 @@ class PieceModel:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+_models: dict[str, PieceModel] = {}
+
+
+def model_of(path: str) -> PieceModel:
+    """The worker's model of a file: kept from task to task with the units it knows."""
+    if path not in _models:
+        _models.clear()
+        _models[path] = PieceModel(path)
+    return _models[path]
+
+
 def encode(documents: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = True) -> DataFrame:
     """Ids of every whole text: doc_id, n_tokens, ids_crc32 (ids as 32-bit little-endian), round_trip, and ids if asked for.
 
@@ -199,7 +210,7 @@ def encode(documents: DataFrame, model: str, doc_id: str = "doc_id", text: str =
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
 
     def run(batches):
-        m = PieceModel(model)
+        m = model_of(model)
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 b = batch.slice(i, 512)
@@ -222,7 +233,7 @@ def decode(encoded: DataFrame, model: str, doc_id: str = "doc_id", ids: str = "i
     """doc_id and text of ids; null ids give a null text, ids outside the model fail."""
 
     def run(batches):
-        m = PieceModel(model)
+        m = model_of(model)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else m.decode(x) for x in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 

@@ -107,6 +107,17 @@ class WordEncoder:
         return out
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """The worker's encoder of a file: kept from task to task with the words it knows."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def cut(ids: np.ndarray) -> np.ndarray:
     """Ends of the chunks of an id stream, by content alone: a gear hash over the last 32 ids marks where chunks may end."""
     n = len(ids)
@@ -156,9 +167,12 @@ def write(documents: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id
     raw = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.binary()), ("root", pa.binary()), ("digest", pa.binary()), ("n", pa.int32()), ("payload", pa.binary())])
 
     def encode(batches):
-        encoder = WordEncoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         narrow = encoder.tokenizer.get_vocab_size() <= 1 << 16 and (end_id is None or end_id < 1 << 16)
-        encoder.width = np.dtype("<u2" if narrow else "<u4")
+        width = np.dtype("<u2" if narrow else "<u4")
+        if encoder.width != width:
+            encoder.width = width
+            encoder.cache.clear()
         end = encoder.pack([end_id]) if end_id is not None else b""
         seen: set[bytes] = set()
         for batch in batches:
