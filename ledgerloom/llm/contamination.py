@@ -82,14 +82,15 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc
             parts.append(entries)
             entries = []
     parts.append(entries)
-    scans = [_scan(docs, part) for part in parts]
+    scans = [_scan(docs, part, len(parts) > 1) for part in parts]
     if len(scans) > 1:
         united = scans[0]
         for other in scans[1:]:
             united = united.unionByName(other)
         merged = united.groupBy("doc_id", "row").agg(
             F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"),
-            F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+            F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.count("*").alias("times"))
+        merged = merged.withColumn("_", F.explode(F.expr(f"array_repeat(0, cast(times / {len(scans)} as int))")))  # rows that repeat stay
     else:
         merged = scans[0]
     n_hit = F.size("hits").cast("long")
@@ -99,7 +100,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), F.col("spans").alias("hit_spans"))
 
 
-def _scan(docs: DataFrame, entries: list) -> DataFrame:
+def _scan(docs: DataFrame, entries: list, several: bool) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(entries)
     schema = pa.schema([*_ARROW, ("row", pa.string())])
@@ -132,7 +133,7 @@ def _scan(docs: DataFrame, entries: list) -> DataFrame:
                     for a, b in edge.reshape(-1, 2):
                         s, e = starts[base[d] + a] - at[d], ends[base[d] + b - 1] - at[d]
                         spans[d].append({"start": int(chars[s]) - 1, "end": int(chars[e - 1])})
-                digest = [hashlib.md5(data[at[i] : at[i + 1]]).hexdigest() for i in range(n)] if len(shared.value) >= BROADCAST_WINDOWS else [None] * n
+                digest = [hashlib.md5(data[at[i] : at[i + 1]]).hexdigest() for i in range(n)] if several else [None] * n
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(hits, schema[2].type), pa.array(items, schema[3].type), pa.array(spans, schema[4].type), pa.array(digest, pa.string())], schema=schema)
 
     return docs.mapInArrow(scan, "doc_id long, n_words long, hits array<int>, items array<long>, spans array<struct<start:long,end:long>>, row string")
