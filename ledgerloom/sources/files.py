@@ -9,16 +9,54 @@ from pyspark.sql import types as T
 from ..plans.errors import Refused
 
 
-def read_delimited(spark: SparkSession, path: str, columns: list[str], separator: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """Text columns of a file whose header must be exactly `columns`; malformed rows fail instead of being dropped."""
+#: What Spark's own text readers decode.
+_CHARSETS = ("iso-8859-1", "us-ascii", "utf-16", "utf-16be", "utf-16le", "utf-32", "utf-8")
+
+
+def read_delimited(spark: SparkSession, path: str, columns: list[str], separator: str = ",", encoding: str = "utf-8") -> DataFrame:
+    """Text columns of files whose header must be exactly `columns`; malformed rows fail instead of being dropped.
+
+    Encodings that Spark's reader does not know (cp949) are decoded file by file; their header is checked as they are read.
+    """
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    if encoding.lower() not in _CHARSETS:
+        return spark.read.format("binaryFile").load(path).select("content").mapInArrow(lambda batches: _decoded(batches, columns, separator, encoding), schema)
     reader = spark.read.option("sep", separator).option("encoding", encoding)
     header = reader.option("header", True).csv(path).columns
     if header != columns:
         raise Refused("HEADER_MISMATCH", f"{header} is not {columns}")
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     return reader.option("header", True).option("mode", "FAILFAST").schema(schema).csv(path)
 
 
+def _rows(stream, columns: list[str], separator: str):
+    """Batches of a text stream's rows; another header or row width fails."""
+    import csv
+
+    import pyarrow as pa
+
+    lines = csv.reader(stream, delimiter=separator)
+    if next(lines, None) != columns:
+        raise ValueError("HEADER_MISMATCH")
+    part: list[list[str]] = []
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], pa.string()) for i in range(len(columns))], names=columns)
+    for line in lines:
+        if len(line) != len(columns):
+            raise ValueError("ROW_WIDTH")
+        part.append(line)
+        if len(part) == 10_000:
+            yield batch()
+            part = []
+    yield batch()
+
+
+def _decoded(batches, columns: list[str], separator: str, encoding: str):
+    import io
+
+    for b in batches:
+        for content in b.column(0).to_pylist():
+            yield from _rows(io.TextIOWrapper(io.BytesIO(content), encoding, newline=""), columns, separator)
+
+
 def read_json_rows(spark: SparkSession, path: str, rows_at: str, columns: list[str]) -> DataFrame:
     """Rows of an array at `rows_at` (dotted) in JSON files, as text columns; a file without the array fails."""
     record = T.StructType([T.StructField(c, T.StringType()) for c in columns])
@@ -34,28 +72,16 @@ def read_zip_members(spark: SparkSession, path: str, member: str, columns: list[
     """Rows of one delimited member of each archive; larger members, missing ones and other headers fail."""
 
     def rows(batches):
-        import csv
         import io
         import zipfile
 
-        import pyarrow as pa
-
         for batch in batches:
             for content in batch.column("content").to_pylist():
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     if z.getinfo(member).file_size > most_bytes:
                         raise ValueError("MEMBER_TOO_LARGE")
                     with z.open(member) as f:
-                        lines = csv.reader(io.TextIOWrapper(f, "utf-8", newline=""), delimiter=separator)
-                        if next(lines) != columns:
-                            raise ValueError("HEADER_MISMATCH")
-                        part: list[list[str]] = []
-                        for line in lines:
-                            part.append(line)
-                            if len(part) == 10_000:
-                                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], pa.string()) for i in range(len(columns))], names=columns)
-                                part = []
-                        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], pa.string()) for i in range(len(columns))], names=columns)
+                        yield from _rows(io.TextIOWrapper(f, "utf-8", newline=""), columns, separator)
 
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, schema)
