@@ -3,9 +3,9 @@
 A group are pages of one host (large hosts are dealt to groups of GROUP_PAGES).  Tokens are tags with their place among
 the structural tags around them, and whole runs of text.  Tokens that occur equally often on every page of the group form
 an equivalence class; a class is valid if its tokens come in one order on all pages, and classes with larger vectors that
-stay within one gap of another nest in it.  The class of tokens that occur once on every page is the template, its gaps
+stay within one gap of another nest in it.  The structural tags of the class of tokens that occur once on every page are the template, its gaps
 are slots.  Slots within the template's article (or, where no page has one, those with the most text outside links and
-furniture) hold the main text; nested classes and tags that are furniture by their name are left out of them.
+furniture) hold the main text; nested classes and tags that are furniture by their name are left out of them; text within them stays even where all pages share it.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ _SPACE = re.compile(r"\s+")
 #: Names of elements.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var br wbr img".split())
+TEXT_BLOCKS = frozenset("p li td tr dd dt option h1 h2 h3 h4 h5 h6 blockquote pre hr".split())
 FURNITURE_TAGS = frozenset("nav footer aside form button select dialog menu head".split())
 FURNITURE_WORDS = frozenset("ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies notice consent popup modal newsletter subscribe sidebar menu nav navigation navbar breadcrumb breadcrumbs footer comment comments disqus replies share social related recommended widget login toolbar complementary contentinfo search".split())
 CONTENT_TAGS = ("article", "main")
@@ -83,7 +84,7 @@ def _place(page: list[Token]) -> None:
                     break
         else:
             t.key = f"{'/'.join(open_[-3:])}|{sign}"
-            if t.name not in VOID and t.name not in INLINE and t.name not in ("p", "li", "td", "tr", "dd", "dt", "option"):
+            if t.name not in VOID and t.name not in INLINE and t.name not in TEXT_BLOCKS:
                 open_.append(sign)
 
 
@@ -113,10 +114,10 @@ class Template:
         self.main = self._main(pages)
 
     def _ordered(self, keys: list[str], pages: list[list[Token]]) -> list[str]:
-        """Of tokens that occur once a page, those in the order of the first page on every page."""
-        wanted = set(keys)
+        """Of structural tags that occur once a page, those in the order of the first page on every page: they bound the slots."""
         if not pages:
             return []
+        wanted = {t.key for t in pages[0] if t.kind == "tag" and t.name not in INLINE and t.name not in TEXT_BLOCKS} & set(keys)
         kept = [t.key for t in pages[0] if t.key in wanted]
         for page in pages[1:]:
             place = {t.key: i for i, t in enumerate(page) if t.key in wanted}
@@ -153,9 +154,8 @@ class Template:
             return inside
         amount: Counter = Counter()
         for page in pages:
-            for t, slot, text, linked in _visible(page, self.walk(page)):
-                if t.key not in self.rank and not linked:
-                    amount[slot] += len(text)
+            for _, slot, text, linked in _visible(page, self.walk(page)):
+                amount[slot] += 0 if linked else len(text)
         most = max(amount.values(), default=0)
         return {s for s, n in amount.items() if n * 5 >= most and n}
 
@@ -180,7 +180,7 @@ class Template:
                         skip = ""
                 continue
             if t.kind == "text":
-                if (within if own else slot in self.main) and not (t.key in self.rank and len(self.order) and self.pages > 2):
+                if within if own else slot in self.main:
                     block.append(t.raw)
                 continue
             if t.name in CONTENT_TAGS:
@@ -195,8 +195,6 @@ class Template:
         end()
         return "\n\n".join(out)
 
-    pages = 0
-
 
 def _visible(page: list[Token], walked):
     """Text outside furniture: (token, slot, text, whether it is in a link)."""
@@ -222,7 +220,6 @@ def extract_group(pages: list[str | None]) -> list[str]:
     """Main text of pages of one host."""
     parsed = [tokens(p or "") for p in pages]
     template = Template([p for p in parsed if p])
-    template.pages = len(parsed)
     return [template.text(p) for p in parsed]
 
 

@@ -103,7 +103,7 @@ def repeated_passages(documents: DataFrame, doc_id: str = "doc_id", text: str =
                         continue
                     cuts = np.concatenate([[0], chunk_ends(h[a:b])])
                     first, last = starts[a + cuts[:-1]], ends[a + cuts[1:] - 1]
-                    values = np.concatenate([[0], np.cumsum(h[a:b] * _odd_powers(b - a)[0])]).astype(np.uint64)
+                    values = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h[a:b] * _odd_powers(b - a)[0])])
                     digests = mix((values[cuts[1:]] - values[cuts[:-1]]) * _odd_powers(b - a)[1][cuts[:-1]] + np.diff(cuts).astype(np.uint64))
                     who = null_id if who is None else who
                     hashes.append(digests)
