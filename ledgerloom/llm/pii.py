@@ -24,8 +24,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: Documents with a base span that training looks at, at most: those with the smallest hashed ids.
 SAMPLE_ROWS = 400
 WINDOW, STRIDE, REACH = 64, 32, 32
-HIDDEN, EMBED, STEPS, BATCH = 16, 12, 200, 32
-#: An added span needs this mean probability over its characters.
+HIDDEN, EMBED, STEPS, BATCH = 32, 12, 400, 32
+#: An added span needs this mean marginal probability over its characters.
 MIN_PROBABILITY = 0.95
 LABELS = 1 + 2 * len(KINDS)
 
@@ -219,6 +219,22 @@ def viterbi(s: np.ndarray, trans: np.ndarray) -> np.ndarray:
     return out
 
 
+def marginals(s: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Probability of each label at each place, by forward and backward passes over the scores and transitions."""
+    emit = np.exp(s.astype(np.float64) - s.max(1, keepdims=True))
+    step = np.exp(trans.astype(np.float64))
+    ahead, behind = np.empty_like(emit), np.ones_like(emit)
+    ahead[0] = emit[0] / emit[0].sum()
+    for i in range(1, len(emit)):
+        x = (ahead[i - 1] @ step) * emit[i]
+        ahead[i] = x / x.sum()
+    for i in range(len(emit) - 2, -1, -1):
+        x = step @ (behind[i + 1] * emit[i + 1])
+        behind[i] = x / x.sum()
+    out = ahead * behind
+    return out / out.sum(1, keepdims=True)
+
+
 def regions(text: str) -> list[tuple[int, int]]:
     """Surroundings of every trigger, joined where they meet."""
     out: list[list[int]] = []
@@ -258,8 +274,7 @@ def added_spans(tagger: Tagger, texts: list[str], base: list[list]) -> list[list
             weight[at : at + WINDOW] += _WEIGHT
         s = total[:size] / weight[:size, None]
         path = viterbi(s, tagger.p["trans"])
-        prob = np.exp(s - s.max(1, keepdims=True))
-        prob = (prob / prob.sum(1, keepdims=True))[np.arange(size), path]
+        prob = None
         i = 0
         while i < size:
             if path[i] == 0:
@@ -269,8 +284,10 @@ def added_spans(tagger: Tagger, texts: list[str], base: list[list]) -> list[list
             while j < size and path[j] == 2 + 2 * kind:
                 j += 1
             span = (KINDS[kind], a + i, a + j)
-            if prob[i:j].mean() >= MIN_PROBABILITY and _plausible(KINDS[kind], texts[n][a + i : a + j]) and not any(x < a + j and a + i < y for _, x, y in base[n]):
-                out[n].append(span)
+            if _plausible(KINDS[kind], texts[n][a + i : a + j]) and not any(x < a + j and a + i < y for _, x, y in base[n]):
+                prob = marginals(s, tagger.p["trans"]) if prob is None else prob
+                if prob[np.arange(i, j), path[i:j]].mean() >= MIN_PROBABILITY:
+                    out[n].append(span)
             i = j
     return out
 
@@ -336,12 +353,19 @@ def training_windows(labelled: list[tuple[str, list]], count: int = 3000, seed:
         else:
             value = _rewritten(kind, value, r)
         left = left if r.random() < 0.9 else left.rstrip()
-        text, at = left + value + right, len(left)
+        parts = [(kind, value)]
+        if kind and r.random() < 0.3:  # values side by side, of which a greedy pattern makes one match and drops it
+            parts += [(None, r.choice([" ", " ", "-", ", ", "\n"])), (kind, value if r.random() < 0.5 else _invented(kind, r))]
+        at, middle = len(left), "".join(v for _, v in parts)
+        text = left + middle + right
         mark = np.zeros(len(text), np.int64)
-        for k, a, b in base_spans(left) + [(k, a + at + len(value), b + at + len(value)) for k, a, b in base_spans(right)]:
+        known = base_spans(left) + [(k, a + at + len(middle), b + at + len(middle)) for k, a, b in base_spans(right)]
+        begin = at
+        for k, v in parts:
+            known += [(k, begin, begin + len(v))] if k else []
+            begin += len(v)
+        for k, a, b in known:
             mark[a:b], mark[a] = 2 + 2 * KINDS.index(k), 1 + 2 * KINDS.index(k)
-        if kind:
-            mark[at : at + len(value)], mark[at] = 2 + 2 * KINDS.index(kind), 1 + 2 * KINDS.index(kind)
         start = max(0, min(len(text) - WINDOW, at - r.randint(0, WINDOW - 8)))
         c = char_codes(text)[start : start + WINDOW]
         pad = WINDOW - len(c)
