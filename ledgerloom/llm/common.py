@@ -82,6 +82,11 @@ def blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) -> Iter
         start = stop
 
 
+def key_bound(n: int, wanted: int) -> int:
+    """The bound up to which about `wanted` of n evenly spread 64-bit keys lie; all of them where there are no more."""
+    return (1 << 63) - 1 if n <= wanted else -(1 << 63) + (wanted << 64) // n
+
+
 def table_of(*codes: int) -> np.ndarray:
     out = np.zeros(256, bool)
     out[list(codes)] = True

@@ -10,11 +10,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_columns
+from .common import key_bound, text_columns
 
 #: Bytes of the raw-content dictionary of one language, and rows looked at for it: the bounds of the fitted sample.
 DICTIONARY_BYTES = 112 << 10
 SAMPLE_ROWS = 400
+#: Rows looked at for one that a dictionary takes.
+SPARE = 4
 #: Languages with fewer labelled rows are still learned; a corpus has at most this many labels.
 MAX_LANGUAGES = 256
 #: Text is encoded in pieces, so that each piece leans on the dictionary and not on the text's own beginning.
@@ -85,8 +87,12 @@ def fit(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     per_row = max(256, 4 * DICTIONARY_BYTES // SAMPLE_ROWS)
     piece = F.expr(f"substring(text, cast(1 + (length(text) - least(length(text), {per_row})) / 2 as int), {per_row})")
     key = F.xxhash64("doc_id", "text")
-    # max_by-like bounded aggregate: per task at most SAMPLE_ROWS candidates a language leave the map side
-    ranked = known.select("lang", key.alias("k"), piece.alias("piece"))
+    # counts without text tell how small a key must be: what is gathered for the choice does not grow with the input
+    counts = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("lang").agg(F.count("*").alias("n")).collect()
+    if not counts:
+        return Model({})
+    bounds = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, key_bound(r.n, SPARE * SAMPLE_ROWS))])
+    ranked = known.select("lang", key.alias("k"), piece.alias("piece")).where(F.col("k") <= bounds[F.col("lang")])
     chosen = _smallest(ranked).toPandas()
     samples = {}
     for language, rows in chosen.sort_values(["lang", "k", "piece"]).groupby("lang"):

@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from ledgerloom.llm import contamination, htmltext, jaccard, langid, pieces, pii, quality, substrings, tokenstore, urlcascade
-from ledgerloom.llm.common import ALNUM, SPACED, flat, scratch, span_hashes, table, window_hashes, words
+from ledgerloom.llm.common import ALNUM, SPACED, flat, key_bound, scratch, span_hashes, table, window_hashes, words
 from ledgerloom.llm.components import connected
 from ledgerloom.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
 
@@ -64,6 +64,11 @@ def test_hashes_do_not_depend_on_place():
     assert len(w) == 28 and w[0] == w[20] and len(set(w[:20].tolist())) == 20
 
 
+def test_key_bound():
+    keys = np.random.default_rng(0).integers(-(1 << 63), (1 << 63) - 1, 100_000)
+    assert abs((keys <= key_bound(100_000, 5_000)).sum() - 5_000) < 500 and (keys <= key_bound(9, 9)).all() and (keys <= key_bound(0, 9)).all()
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(i, i + 1) for i in range(200, 260)] + [(1000, r.randrange(1001, 1100)) for _ in range(80)] + [(5, 5), (7, None)]
