@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_columns
+from .common import key_bound, text_columns
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents with a base span that training looks at, at most: those with the smallest hashed ids.
 SAMPLE_ROWS = 400
+#: Documents looked at for one that training takes.
+SPARE = 100
 WINDOW, STRIDE, REACH = 64, 32, 32
 HIDDEN, EMBED, STEPS, BATCH = 32, 12, 400, 32
 #: An added span needs this mean marginal probability over its characters.
@@ -375,8 +377,12 @@ def training_windows(labelled: list[tuple[str, list]], count: int = 3000, seed:
 
 
 def fit(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS, steps: int = STEPS) -> Tagger:
-    """Trains a tagger on surroundings of base spans in `rows` documents at most, and on rewritten and invented values."""
+    """Trains a tagger on surroundings of base spans in `rows` documents at most, and on rewritten and invented values.
+
+    The documents are those with the smallest hashed ids among about SPARE * rows that are looked at (all of a smaller table).
+    """
     docs = text_columns(documents, doc_id=doc_id, text=text).select(F.xxhash64("doc_id", "text").alias("k"), "text").where("text is not null")
+    docs = docs.where(F.col("k") <= key_bound(documents.count(), SPARE * rows))  # what is gathered does not grow with the input
 
     def surroundings(batches):
         for b in batches:
