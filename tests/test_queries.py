@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from conftest import same_rows
 
+import ledgerloom.release_queries  # noqa: F401  (adds its queries)
 from ledgerloom.catalog_queries import ORACLE_SQL, QUERIES
 
 
