@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Encoded units kept by each worker, and the longest that is kept.
-CACHE_UNITS, CACHE_UNIT_CHARS = 700_000, 48
+#: Encoded units kept by each worker (some 150 MB), the longest that is kept, and pairs of pieces kept.
+CACHE_UNITS, CACHE_UNIT_CHARS, CACHE_PAIRS = 200_000, 48, 500_000
 SPACE = "▁"
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 _AFTER_LETTERS = re.compile(r"(?<=[^\W\d_])(?=[\W\d_])")
@@ -78,7 +78,7 @@ class PieceModel:
         key = a << 32 | b
         out = self.fits.get(key)
         if out is None:
-            if len(self.fits) > 2 * CACHE_UNITS:
+            if len(self.fits) > CACHE_PAIRS:
                 self.fits.clear()
             x, y = self.pieces[a], self.pieces[b]
             out = self.fits[key] = self.merged(x + y) == [x, y]
