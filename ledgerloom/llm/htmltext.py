@@ -5,7 +5,10 @@ the structural tags around them, and whole runs of text.  Tokens that occur equa
 an equivalence class; a class is valid if its tokens come in one order on all pages, and classes with larger vectors that
 stay within one gap of another nest in it.  The structural tags of the class of tokens that occur once on every page are the template, its gaps
 are slots.  Slots within the template's article (or, where no page has one, those with the most text outside links and
-furniture) hold the main text; nested classes and tags that are furniture by their name are left out of them; text within them stays even where all pages share it.
+furniture) hold the main text.  Left out of them are tags
+that are furniture by their name, slots that are lists of links, and nested classes whose blocks are lists of links or end
+in the same link each time ("Reply", "Read more"); other nested classes are the article's own paragraphs, lists and
+sections and stay, as does text that all pages share.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from .common import materialize
 GROUP_PAGES = 256
 #: A class must occur on this share of a group's pages.
 SUPPORT = 0.5
+#: Fewer pages tell nothing of what recurs.
+LEAST_PAGES = 3
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|svg|iframe)\b[^<>]*>.*?(?:</\1\s*>|\Z)|<[!?][^<>]*>|</?[a-zA-Z][^<>]*>", re.S | re.I)
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -32,6 +37,7 @@ _SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var br wbr img".split())
 TEXT_BLOCKS = frozenset("p li td tr dd dt option h1 h2 h3 h4 h5 h6 blockquote pre hr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FURNITURE_TAGS = frozenset("nav footer aside form button select dialog menu head".split())
 FURNITURE_WORDS = frozenset("ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies notice consent popup modal newsletter subscribe sidebar menu nav navigation navbar breadcrumb breadcrumbs footer comment comments disqus replies share social related recommended widget login toolbar complementary contentinfo search".split())
 CONTENT_TAGS = ("article", "main")
@@ -88,6 +94,37 @@ def _place(page: list[Token]) -> None:
                 open_.append(sign)
 
 
+class Amount:
+    """Text of a slot, or of all blocks of a nested class."""
+
+    __slots__ = ("plain", "linked", "links", "pages", "blocks", "same", "headed")
+
+    def __init__(self) -> None:
+        self.plain = self.linked = self.links = self.pages = self.blocks = 0
+        self.same: set[str] | None = None
+        self.headed = False
+
+    def add(self, text: str, linked: bool) -> None:
+        if linked:
+            self.linked += len(text)
+            self.links += 1
+        else:
+            self.plain += len(text)
+
+    def end(self, said: set[str]) -> None:
+        self.same = said if self.same is None else self.same & said
+
+    @property
+    def is_list(self) -> bool:
+        """More text in links than outside, two links a page or more."""
+        return self.linked > self.plain and self.links >= 2 * self.pages
+
+    @property
+    def ends_alike(self) -> bool:
+        """Every block has a link of the same words, and none is a section under a heading."""
+        return bool(self.same) and not self.headed and self.blocks >= 2 * LEAST_PAGES
+
+
 class Template:
     """Template and nested classes of a group of pages."""
 
@@ -103,15 +140,69 @@ class Template:
         root = tuple([1] * len(pages))
         self.order = self._ordered(vectors.get(root, []), pages)
         self.rank = {k: i for i, k in enumerate(self.order)}
-        #: Classes that recur within one slot of the template: their tokens, by slot.
-        self.nested: dict[str, int] = {}
-        for vector, keys in vectors.items():
-            if vector != root and len(keys) >= 2:
-                for key in keys:
-                    slots = {s for page in pages for t, s in self.walk(page) if t.key == key}
-                    if len(slots) == 1:
-                        self.nested[key] = slots.pop()
-        self.main = self._main(pages)
+        #: Opening tags of valid nested classes: classes that recur within one slot of the template, each tag with its end.
+        self.nested = self._nested({v: k for v, k in vectors.items() if v != root}, pages)
+        slots, blocks = self._amounts(pages)
+        #: Slots and nested classes that are left out of the main text.
+        self.lists = {s for s, a in slots.items() if len(pages) >= LEAST_PAGES and a.is_list}
+        self.left = {k for k, a in blocks.items() if len(pages) >= LEAST_PAGES and (a.is_list or a.ends_alike)}
+        self.main = self._main(slots) - self.lists
+
+    def _nested(self, classes: dict[tuple, list[str]], pages: list[list[Token]]) -> set[str]:
+        wanted = {k: v for v, keys in classes.items() if len(keys) >= 2 for k in keys}
+        slots: dict[str, int] = {}
+        opened: set[str] = set()
+        for page in pages if wanted else []:
+            for t, slot in self.walk(page):
+                if t.key in wanted:
+                    if slots.setdefault(t.key, slot) != slot:
+                        del wanted[t.key]
+                    elif t.kind == "tag" and not t.close and t.name not in INLINE and t.name not in VOID:
+                        opened.add(t.key)
+        out = set()
+        for key in opened & wanted.keys():
+            place, sign = key.split("|", 1)
+            name = sign.split(".")[0]
+            inner = place if name in TEXT_BLOCKS else "/".join([*(place.split("/") if place else []), sign][-3:])
+            if wanted.get(f"{inner}|/{name}") == wanted[key]:
+                out.add(key)
+        return out
+
+    def _amounts(self, pages: list[list[Token]]) -> tuple[dict[int, Amount], dict[str, Amount]]:
+        """Text and links of each slot and of the blocks of each nested class, outside furniture."""
+        slots: dict[int, Amount] = defaultdict(Amount)
+        blocks: dict[str, Amount] = defaultdict(Amount)
+        for page in pages:
+            texts: set[int] = set()
+            open_: list[list] = []
+            heard: set[str] = set()
+            for t, slot, text, linked in _visible(page, self.walk(page)):
+                if text:
+                    slots[slot].add(text, linked)
+                    texts.add(slot)
+                    for key, _, _, said in open_:
+                        blocks[key].add(text, linked)
+                        if linked:
+                            said.add(_SPACE.sub(" ", text))
+                    continue
+                if t.name in HEADINGS and not t.close:
+                    for key, *_ in open_:
+                        blocks[key].headed = True
+                for o in open_:
+                    if o[1] == t.name:
+                        o[2] += -1 if t.close else 1
+                for o in [o for o in open_ if not o[2]]:
+                    blocks[o[0]].end(o[3])
+                    open_.remove(o)
+                if not t.close and t.key in self.nested:
+                    open_.append([t.key, t.name, 1, set()])
+                    blocks[t.key].blocks += 1
+                    heard.add(t.key)
+            for slot in texts:
+                slots[slot].pages += 1
+            for key in heard:
+                blocks[key].pages += 1
+        return slots, blocks
 
     def _ordered(self, keys: list[str], pages: list[list[Token]]) -> list[str]:
         """Of structural tags that occur once a page, those in the order of the first page on every page: they bound the slots."""
@@ -138,7 +229,7 @@ class Template:
                 slot = at + 1
             yield t, slot
 
-    def _main(self, pages: list[list[Token]]) -> set[int]:
+    def _main(self, slots: dict[int, Amount]) -> set[int]:
         """Slots with the main text."""
         signs = [k.rsplit("|", 1)[-1] for k in self.order]
         inside, depth = set(), 0
@@ -152,15 +243,14 @@ class Template:
                 inside.add(i + 1)
         if inside:
             return inside
-        amount: Counter = Counter()
-        for page in pages:
-            for _, slot, text, linked in _visible(page, self.walk(page)):
-                amount[slot] += 0 if linked else len(text)
-        most = max(amount.values(), default=0)
-        return {s for s, n in amount.items() if n * 5 >= most and n}
+        most = max((a.plain for a in slots.values()), default=0)
+        return {s for s, a in slots.items() if a.plain * 5 >= most and a.plain}
 
     def text(self, page: list[Token]) -> str:
-        """Main text of a page: blocks joined by an empty line."""
+        """Main text of a page: blocks joined by an empty line; a page that holds nothing but lists keeps them."""
+        return self._text(page, self.lists, self.left) or (self._text(page, set(), set()) if self.lists or self.left else "")
+
+    def _text(self, page: list[Token], lists: set[int], left: set[str]) -> str:
         own = any(t.name in CONTENT_TAGS and not t.close for t in page)
         out: list[str] = []
         block: list[str] = []
@@ -180,12 +270,12 @@ class Template:
                         skip = ""
                 continue
             if t.kind == "text":
-                if within if own else slot in self.main:
+                if slot not in lists and (within if own else slot in self.main or slot in self.lists):
                     block.append(t.raw)
                 continue
             if t.name in CONTENT_TAGS:
                 within = max(0, within + (-1 if t.close else 1))
-            if not t.close and t.name not in VOID and (t.furniture or (t.name == "header" and not within)) and t.name not in ("html", "body"):
+            if not t.close and t.name not in VOID and (t.furniture or t.key in left or (t.name == "header" and not within)) and t.name not in ("html", "body"):
                 end()
                 skip, depth = t.name, 1
             elif t.name not in INLINE:
@@ -197,7 +287,7 @@ class Template:
 
 
 def _visible(page: list[Token], walked):
-    """Text outside furniture: (token, slot, text, whether it is in a link)."""
+    """Tags (with empty text) and text outside furniture: (token, slot, text, whether it is in a link)."""
     skip, depth, links = "", 0, 0
     for t, slot in walked:
         if skip:
@@ -211,9 +301,11 @@ def _visible(page: list[Token], walked):
             if text:
                 yield t, slot, text, links > 0
         elif t.name == "a":
-            links = max(0, links + (-1 if t.close else 1))
+            links = 0 if t.close else 1
         elif not t.close and t.name not in VOID and (t.furniture or t.name == "header") and t.name not in ("html", "body"):
             skip, depth = t.name, 1
+        else:
+            yield t, slot, "", False
 
 
 def extract_group(pages: list[str | None]) -> list[str]:

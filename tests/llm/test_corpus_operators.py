@@ -491,6 +491,23 @@ def test_furniture_is_left_out(spark):
     assert htmltext.extract(df.limit(0)).count() == 0
 
 
+def test_nested_classes_are_left_out_of_articles():
+    def page(i, link="Reply"):
+        teasers = "".join(f"<div class=t><a href=x{j}>Other story {i} {j}</a> today</div>" for j in range(i % 3 + 2))
+        said = "".join(f"<section class=e><b>Ann {i}{j}</b><p>I think {i} {j}.</p><a href=r>{link}</a></section>" for j in range(i % 4 + 2))
+        own = "".join(f"<section class=s><h2>Part {j}</h2><p>Prose {i} {j}, with a <a href=y>link {i}</a> in it.</p></section><ul><li>point {i}</li></ul>" for j in range(i % 2 + 2))
+        return f"<html><body><article><h1>Title {i}</h1><p>Lead {i}.</p>{own}{teasers}{said}</article></body></html>"
+
+    pages = [page(i) for i in range(12)]
+    for i, text in enumerate(htmltext.extract_group(pages)):
+        parts = [x for j in range(i % 2 + 2) for x in (f"Part {j}", f"Prose {i} {j}, with a link {i} in it.", f"point {i}")]
+        assert text == "\n\n".join([f"Title {i}", f"Lead {i}.", *parts])
+    # what recurs is told by the other pages of the host: one page alone keeps all its article
+    assert "Other story 0 1" in htmltext.extract_group(pages[:1])[0] and "I think 0 1." in htmltext.extract_group(pages[:1])[0]
+    # a page of links only is not emptied
+    assert all("Go 1" in x for x in htmltext.extract_group([f"<article><div class=t><a>Go 1</a></div><div class=t><a>Go {i}</a></div></article>" for i in range(5)]))
+
+
 # queries and pipeline
 
 
