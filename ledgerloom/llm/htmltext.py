@@ -5,7 +5,7 @@ the structural tags around them, and whole runs of text.  Tokens that occur equa
 an equivalence class; a class is valid if its tokens come in one order on all pages, and classes with larger vectors that
 stay within one gap of another nest in it.  The structural tags of the class of tokens that occur once on every page are the template, its gaps
 are slots.  Slots within the template's article (or, where no page has one, those with the most text outside links and
-furniture) hold the main text.  Left out of them are tags
+furniture, all between them, and all whose text changes from page to page) hold the main text.  Left out of them are tags
 that are furniture by their name, slots that are lists of links, and nested classes whose blocks are lists of links or end
 in the same link each time ("Reply", "Read more"); other nested classes are the article's own paragraphs, lists and
 sections and stay, as does text that all pages share.
@@ -97,10 +97,11 @@ def _place(page: list[Token]) -> None:
 class Amount:
     """Text of a slot, or of all blocks of a nested class."""
 
-    __slots__ = ("plain", "linked", "links", "pages", "blocks", "same", "headed")
+    __slots__ = ("plain", "linked", "links", "pages", "blocks", "forms", "same", "headed")
 
     def __init__(self) -> None:
         self.plain = self.linked = self.links = self.pages = self.blocks = 0
+        self.forms: set[int] = set()
         self.same: set[str] | None = None
         self.headed = False
 
@@ -146,7 +147,7 @@ class Template:
         #: Slots and nested classes that are left out of the main text.
         self.lists = {s for s, a in slots.items() if len(pages) >= LEAST_PAGES and a.is_list}
         self.left = {k for k, a in blocks.items() if len(pages) >= LEAST_PAGES and (a.is_list or a.ends_alike)}
-        self.main = self._main(slots) - self.lists
+        self.main = self._main(slots, len(pages)) - self.lists
 
     def _nested(self, classes: dict[tuple, list[str]], pages: list[list[Token]]) -> set[str]:
         wanted = {k: v for v, keys in classes.items() if len(keys) >= 2 for k in keys}
@@ -173,13 +174,13 @@ class Template:
         slots: dict[int, Amount] = defaultdict(Amount)
         blocks: dict[str, Amount] = defaultdict(Amount)
         for page in pages:
-            texts: set[int] = set()
+            texts: dict[int, list[str]] = defaultdict(list)
             open_: list[list] = []
             heard: set[str] = set()
             for t, slot, text, linked in _visible(page, self.walk(page)):
                 if text:
                     slots[slot].add(text, linked)
-                    texts.add(slot)
+                    texts[slot].append(text)
                     for key, _, _, said in open_:
                         blocks[key].add(text, linked)
                         if linked:
@@ -198,8 +199,9 @@ class Template:
                     open_.append([t.key, t.name, 1, set()])
                     blocks[t.key].blocks += 1
                     heard.add(t.key)
-            for slot in texts:
+            for slot, said in texts.items():
                 slots[slot].pages += 1
+                slots[slot].forms.add(hash(" ".join(said)))
             for key in heard:
                 blocks[key].pages += 1
         return slots, blocks
@@ -229,7 +231,7 @@ class Template:
                 slot = at + 1
             yield t, slot
 
-    def _main(self, slots: dict[int, Amount]) -> set[int]:
+    def _main(self, slots: dict[int, Amount], n: int) -> set[int]:
         """Slots with the main text."""
         signs = [k.rsplit("|", 1)[-1] for k in self.order]
         inside, depth = set(), 0
@@ -244,7 +246,12 @@ class Template:
         if inside:
             return inside
         most = max((a.plain for a in slots.values()), default=0)
-        return {s for s, a in slots.items() if a.plain * 5 >= most and a.plain}
+        large = {s for s, a in slots.items() if a.plain * 5 >= most and a.plain}
+        if not large:
+            return large
+        # a headline or a closing line may be a slot of its own: what changes from page to page is no part of the template
+        own = {s for s, a in slots.items() if n < LEAST_PAGES or len(a.forms) > 1 or a.pages < n}
+        return large | own | set(range(min(large), max(large) + 1))
 
     def text(self, page: list[Token]) -> str:
         """Main text of a page: blocks joined by an empty line; a page that holds nothing but lists keeps them."""

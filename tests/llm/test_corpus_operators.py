@@ -508,6 +508,16 @@ def test_nested_classes_are_left_out_of_articles():
     assert all("Go 1" in x for x in htmltext.extract_group([f"<article><div class=t><a>Go 1</a></div><div class=t><a>Go {i}</a></div></article>" for i in range(5)]))
 
 
+def test_short_slots_are_kept():
+    def page(i):
+        return (f"<html><body><div id=top><a href=a>Home</a> <a href=b>News</a></div><div id=title>Title {i}</div><div id=lead>Lead {i}</div>"
+                f"<div id=body><p>{'Long body. ' * 60}{i}</p></div><div id=end>In short, {i}.</div><div id=legal>All rights reserved</div></body></html>")
+
+    body = ("Long body. " * 60).strip()
+    for i, text in enumerate(htmltext.extract_group([page(i) for i in range(6)])):
+        assert text == f"Title {i}\n\nLead {i}\n\n{body} {i}\n\nIn short, {i}."
+
+
 # queries and pipeline
 
 
