@@ -21,8 +21,9 @@ SPARE = 4
 MAX_LANGUAGES = 256
 #: Text is encoded in pieces, so that each piece leans on the dictionary and not on the text's own beginning.
 PIECE_BYTES = 4096
-#: Relative gap of the two smallest encodings below which the prediction is rejected.
-MIN_MARGIN = 0.001
+#: Relative gap of the two smallest encodings below which the prediction is rejected.  Of 1960 held-out texts of sf0.1 it
+#: rejects 1.1 % (ties alone are 0.9 %), of texts of random letters all, of texts that mix two languages by words 87 %.
+MIN_MARGIN = 0.05
 LEVEL = 5
 
 #: Everything in ASCII but letters becomes a space.

@@ -304,6 +304,21 @@ def test_language(spark, sf_dir):
     assert langid.identify(docs_of(spark, ["the"]), langid.fit(docs_of(spark, []))).first().lang_pred == "und"
 
 
+def test_unclear_languages_are_rejected(spark):
+    documents = table(spark, "/root/testdata/sf0.01", "documents")
+    model = langid.fit(documents)
+    held = [(r.lang, r.text) for r in documents.where(langid.held_out()).collect()]
+    told = [model.predict(t) for _, t in held]
+    assert np.mean([accepted for _, _, accepted in told]) > 0.97
+    assert np.mean([x == lang for (x, _, accepted), (lang, _) in zip(told, held) if accepted]) > 0.99
+    r = random.Random(1)
+    junk = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(r.randint(20, 300))) for _ in range(100)]
+    words = {lang: [t.split() for x, t in held if x == lang and 40 <= len(t.split()) <= 2000] for lang in model.languages}
+    mixed = [" ".join(w for pair in zip(*(r.choice(words[x]) for x in r.sample(model.languages, 2))) for w in pair) for _ in range(100)]
+    assert np.mean([model.predict(t)[2] for t in junk]) < 0.02
+    assert np.mean([model.predict(t)[2] for t in mixed]) < 0.3
+
+
 # 6 URL filters
 
 
