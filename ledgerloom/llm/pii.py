@@ -1,8 +1,9 @@
 """Personal data: exact base patterns, and a character-level bidirectional LSTM with CRF transitions that adds spans.
 
 The network is trained in numpy from labelled spans: those the base patterns find in a bounded sample, and rewritten
-forms of them (numbers without a plus, spelt-out signs) that the patterns miss.  Every kind holds a digit, an at sign or a
-spelt-out one, so only the surroundings of those are read by the network; elsewhere its labels could not make a span.
+forms of them (numbers without a plus, spaced digits, spelt-out signs) that the patterns miss.  Every span holds a digit,
+an at sign or the word "at" (`_plausible` takes no other), so the network reads the surroundings of each of those, to the
+ends of the words they touch; elsewhere its labels could not make a span.
 Overlapping windows give each character's label scores; where windows overlap the scores are averaged, nearer the middle
 of a window counting more, and one Viterbi pass over the whole region decides.
 """
@@ -26,18 +27,26 @@ SAMPLE_ROWS = 400
 #: Documents looked at for one that training takes.
 SPARE = 100
 WINDOW, STRIDE, REACH = 64, 32, 32
-HIDDEN, EMBED, STEPS, BATCH = 32, 12, 400, 32
+HIDDEN, EMBED, STEPS, BATCH = 32, 12, 800, 32
 #: An added span needs this mean marginal probability over its characters.
 MIN_PROBABILITY = 0.95
 LABELS = 1 + 2 * len(KINDS)
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_HOST = re.compile(r"[A-Za-z0-9.-]*")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TRIGGER = re.compile(r"[0-9]{2,}|@|\((?:at|AT)\)|\[(?:at|AT)\]")
+#: An at sign, or one spelt out: bare, spaced or in brackets of any kind.
+_AT = re.compile(r"@|(?<![^\W_])at(?![^\W_])", re.I)
+_SIGN = re.compile(rf"[ (\[{{]*(?:{_AT.pattern})[ )\]}}]*", re.I)
+_SIGN_LAST = re.compile(rf"(?:{_AT.pattern})[ )\]}}]*\Z", re.I)
+_AFTER = re.compile(r"[ )\]}]*")
+_TRIGGER = re.compile(rf"[0-9]+|{_AT.pattern}", re.I)
+#: What values are written in without a space.
+_UNBROKEN = re.compile(r"[\w.%+@(){}\[\]-]*")
 
 
 def _emails(text: str):
@@ -238,12 +247,17 @@ def marginals(s: np.ndarray, trans: np.ndarray) -> np.ndarray:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Surroundings of every trigger, joined where they meet."""
+    """Surroundings of every trigger to the ends of the words they touch, joined where they meet."""
     out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
         a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
+        last = out[-1][1] if out else 0
+        if b > last:
+            b = _UNBROKEN.match(text, b).end() if _UNBROKEN.match(text[b - 1]).end() else b
+        while a > last and _UNBROKEN.match(text[a - 1]).end():
+            a -= 1
+        if out and a <= last:
+            out[-1][1] = max(last, b)
         else:
             out.append([a, b])
     return [(a, b) for a, b in out]
@@ -285,8 +299,9 @@ def added_spans(tagger: Tagger, texts: list[str], base: list[list]) -> list[list
             kind, j = (path[i] - 1) // 2, i + 1
             while j < size and path[j] == 2 + 2 * kind:
                 j += 1
-            span = (KINDS[kind], a + i, a + j)
-            if _plausible(KINDS[kind], texts[n][a + i : a + j]) and not any(x < a + j and a + i < y for _, x, y in base[n]):
+            start, end = (a + i, a + j) if KINDS[kind] != "email" else _whole(texts[n], a + i, a + j)
+            span = (KINDS[kind], start, end)
+            if _plausible(KINDS[kind], texts[n][start:end]) and not any(x < end and start < y for _, x, y in base[n]):
                 prob = marginals(s, tagger.p["trans"]) if prob is None else prob
                 if prob[np.arange(i, j), path[i:j]].mean() >= MIN_PROBABILITY:
                     out[n].append(span)
@@ -294,11 +309,31 @@ def added_spans(tagger: Tagger, texts: list[str], base: list[list]) -> list[list
     return out
 
 
+def _whole(text: str, start: int, end: int) -> tuple[int, int]:
+    """An address to the ends of its first and last word, as the base pattern takes it; a sign has a word before and after it."""
+    first, last = start, end
+    if m := _SIGN.match(text, first, last):
+        while first > 0 and text[first - 1] in " ([{":
+            first -= 1
+        if m.end() == last:
+            last = _AFTER.match(text, last).end()
+    elif m := _SIGN_LAST.search(text, first, last):
+        last = _AFTER.match(text, last).end()
+    while first > 0 and text[first - 1] in _LOCAL:
+        first -= 1
+    while first < start and not text[first].isalnum():
+        first += 1
+    last = _HOST.match(text, last).end()
+    while last > end and not text[last - 1].isalnum():
+        last -= 1
+    return first, last
+
+
 def _plausible(kind: str, text: str) -> bool:
     """What a kind cannot be without."""
     digits = sum(c in "0123456789" for c in text)
     if kind == "email":
-        return len(text) >= 6 and ("@" in text or "at" in text.lower()) and text[0].isalnum() and text[-1].isalnum()
+        return len(text) >= 6 and bool(_AT.search(text)) and text[0].isalnum() and text[-1].isalnum()
     if kind == "ip":
         return 4 <= digits <= 12 and text.count(".") == 3
     if kind == "card":
@@ -309,10 +344,13 @@ def _plausible(kind: str, text: str) -> bool:
 def _rewritten(kind: str, value: str, r: random.Random) -> str:
     """A form of a value that the base patterns do not know, or the value itself."""
     way = r.random()
-    if kind == "email" and way < 0.4:
-        return value.replace("@", r.choice([" (at) ", "(at)", " [at] ", "[at]"]))
+    if kind == "email" and way < 0.5:
+        word = r.choice(["at", "at", "AT", "At"])
+        return value.replace("@", r.choice([*[f" {word} "] * 5, *(f"{a}{x}{word}{x}{b}" for x in ("", " ") for a, b in ("()", "[]", "{}")), *(f" {a}{word}{b} " for a, b in ("()", "[]", "{}"))]))
     if kind == "phone" and way < 0.3:
         return value.split(" ", 1)[-1] if " " in value else value
+    if kind == "phone" and way < 0.5:
+        return " ".join(c for c in value if c in "0123456789")
     if kind == "card" and way < 0.3 and value.isdigit():
         return r.choice([".", "/"]).join(value[i : i + 4] for i in range(0, len(value), 4))
     return value
@@ -320,6 +358,8 @@ def _rewritten(kind: str, value: str, r: random.Random) -> str:
 
 def _invented(kind: str, r: random.Random) -> str:
     word = lambda: "".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(r.randint(3, 9)))
+    if kind == "email" and r.random() < 0.25:
+        return f"{word()}{''.join(r.choice('.-_') + word() for _ in range(r.randint(1, 3)))}@{word()}-{word()}.{r.choice(['com', 'org', 'net', 'de', 'co.uk'])}"
     if kind == "email":
         return f"{word()}{r.choice(['.', '_', ''])}{r.choice([word(), str(r.randint(1, 99))])}@{word()}.{r.choice(['com', 'org', 'net', 'de', 'co.uk'])}"
     if kind == "ip":
@@ -335,10 +375,17 @@ def _decoy(r: random.Random) -> str:
     return r.choice([
         f"{r.randint(1, 12)}.{r.randint(0, 20)}", f"{r.randint(1900, 2100)}", f"version {r.randint(1, 9)}.{r.randint(0, 99)}.{r.randint(0, 99)}", "".join(r.choice("0123456789abcdef") for _ in range(r.randint(16, 40))),
         "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(20)), f"{r.randint(10, 999999)}", f"{r.randint(0, 23):02}:{r.randint(0, 59):02}", f"{r.randint(1, 31)}/{r.randint(1, 12)}/{r.randint(1990, 2030)}", f"{r.randint(1, 99)}%",
-        "".join(r.choice("0123456789") for _ in range(r.choice([8, 10, 12, 20]))), f"${r.randint(1, 9)},{r.randint(100, 999)}.{r.randint(10, 99)}", "@home", f"item {r.randint(1, 500)}"])
+        "".join(r.choice("0123456789") for _ in range(r.choice([8, 10, 12, 20]))), f"${r.randint(1, 9)},{r.randint(100, 999)}.{r.randint(10, 99)}", "@home", f"item {r.randint(1, 500)}", f"at {r.randint(1, 12)}", " ".join(str(i) for i in range(1, r.randint(3, 13))), " ".join(r.choice("0123456789") for _ in range(r.randint(1, 6)))])
+
+
+def _prose(text: str, r: random.Random) -> str:
+    """Words of a text around an "at" that is none of an address."""
+    words = [w for w in text.split() if w.isalpha()] or ["the"]
+    some = lambda: " ".join(r.choice(words) for _ in range(r.randint(1, 3)))
+    return f"{some()}{r.choice(['', '', '.', ','])} {r.choice(['at', 'at', 'At', 'AT', '(at'])} {some()}{r.choice(['', '', '. ' + some().capitalize(), ', ' + some(), '.'])}"
 
 
-def training_windows(labelled: list[tuple[str, list]], count: int = 3000, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def training_windows(labelled: list[tuple[str, list]], count: int = 6000, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Windows and labels: surroundings of labelled spans, with values kept, rewritten or invented anew, and decoys."""
     r = random.Random(seed)
     contexts = [(t[max(0, a - WINDOW) : a], kind, t[a:b], t[b : b + WINDOW]) for t, spans in labelled for kind, a, b in spans]
@@ -348,7 +395,7 @@ def training_windows(labelled: list[tuple[str, list]], count: int = 3000, seed:
         left, kind, value, right = r.choice(contexts)
         way = r.random()
         if way < 0.25:
-            kind, value = None, _decoy(r)
+            kind, value = None, _decoy(r) if r.random() < 0.6 else _prose(left + right, r)
         elif way < 0.75:
             kind = r.choice(KINDS)
             value = _rewritten(kind, _invented(kind, r), r)

@@ -444,6 +444,29 @@ def test_personal_data(spark, sf_dir):
     assert pii.find_personal_data(docs_of(spark, []), tagger).count() == 0
 
 
+def test_spelt_out_and_spaced_values(spark):
+    tagger = pii.fit(table(spark, "/root/testdata/sf0.01", "documents"))
+    long = "anna.maria.lindqvist-bergstrom.office"
+    values = {"call 4 1 5 5 5 5 0 1 2 3 now": "call [PHONE] now", f"{long}(at)mail.example.com": "[EMAIL]", f"und {long}(at)mail.example.com der": "und [EMAIL] der", f"und {long} at mail.example.com der": "und [EMAIL] der"}
+    values |= {f"write to jo.do{x}mail.example.com today": "write to [EMAIL] today" for x in (" at ", " AT ", "(At)", "(at)", "( at )", "{at}", " [at] ")}
+    values |= {t: t for t in ("we looked at the house. Then at home, at 10.", "the hat at that. The cat", "und der 1 2 3 4 5 die das")}
+    texts = list(values)
+    base = [pii.base_spans(t) for t in texts]
+    assert {t: pii.mask(t, b + more) for t, b, more in zip(texts, base, pii.added_spans(tagger, texts, base))} == values
+
+
+@given(st.text(alphabet="ab.@12+( )-é%_ atAT[]{}", max_size=150))
+@settings(max_examples=300, deadline=None)
+def test_regions_hold_every_plausible_span(text):
+    inside = pii.regions(text)
+    assert all(y < a for (_, y), (a, _) in zip(inside, inside[1:])) and all(0 <= a < b <= len(text) for a, b in inside)
+    for m in re.finditer(r"[0-9]|@|(?<![^\W_])at(?![^\W_])", text, re.I):
+        a, b = next((a, b) for a, b in inside if a <= m.start() and m.end() <= b)
+        assert (a == 0 or not re.fullmatch(r"[\w.%+@-]{2}", text[a - 1 : a + 1])) and (b == len(text) or not re.fullmatch(r"[\w.%+@-]{2}", text[b - 1 : b + 1]))
+    for kind in pii.KINDS:
+        assert not pii._plausible(kind, "water, cream and hat") and not pii._plausible(kind, "no sign or number")
+
+
 # 9 SentencePiece
 
 
