@@ -338,6 +338,13 @@ def _(spark, sf_dir):
     return dataflow.in_cycles(n.where("n_regionkey < n_nationkey").select(F.col("n_nationkey").cast("long").alias("child"), F.col("n_regionkey").cast("long").alias("parent")))
 
 
+# customers in rings of 100; the last ones make a chain that ends where their ring is not full
+@_register("cycle_check_rings", "SELECT c_custkey AS node FROM customer WHERE (c_custkey // 100 + 1) * 100 <= (SELECT max(c_custkey) + 1 FROM customer)")
+def _(spark, sf_dir):
+    c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("child"))
+    return dataflow.in_cycles(c.withColumn("parent", F.when(F.col("child") % 100 == 99, F.col("child") - 99).otherwise(F.col("child") + 1)))
+
+
 @_register("entity_classes", f"WITH {_LEDGER} SELECT entity_id, CASE WHEN EXISTS (SELECT 1 FROM edge WHERE subject_id = entity_id) THEN list_aggregate(list_sort([fam, 'Supplied']), 'string_agg', ',') ELSE fam END AS classes FROM prod")
 def _(spark, sf_dir):
     ledger = L.from_star_schema(spark, sf_dir)

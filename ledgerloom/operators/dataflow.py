@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.errors import Refused
@@ -88,13 +91,35 @@ def resolve_identities(records: DataFrame) -> DataFrame:
         F.when(F.col("merge").isNull(), "SINGLE").when(F.col("merge"), "MERGED").otherwise("AMBIGUOUS").alias("resolution"))
 
 
-def in_cycles(edges: DataFrame, child: str = "child", parent: str = "parent", most_depth: int = 50) -> DataFrame:
-    """Nodes that reach themselves, by a recursive query over the edges."""
-    edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).distinct().createOrReplaceTempView("_edges")
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE walk(start, at, depth) AS (
-          SELECT c, p, 1 FROM _edges UNION ALL SELECT w.start, e.p, w.depth + 1 FROM walk w JOIN _edges e ON e.c = w.at WHERE w.start != w.at AND w.depth < {most_depth})
-        SELECT DISTINCT start AS node FROM walk WHERE start = at""")
+def in_cycles(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """Nodes that reach themselves, however long the cycle.
+
+    Pairs (start, at) of the transitive closure are doubled in length and written out each round until none is new, which
+    a cycle or path of n edges takes log2(n) rounds for; there are as many pairs as nodes reach others.
+    """
+    reach, path = _written(edges.select(F.col(child).alias("start"), F.col(parent).alias("at")).dropna().distinct())
+    have, before = reach.count(), -1
+    while have != before:
+        further = reach.join(reach.select(F.col("start").alias("at"), F.col("at").alias("end")), "at").select("start", F.col("end").alias("at"))
+        old = path
+        reach, path = _written(reach.unionByName(further).distinct())
+        _deleted(edges.sparkSession, old)
+        have, before = reach.count(), have
+    return reach.where("start = at").select(F.col("start").alias("node"))
+
+
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
+    """df, written to a new folder in spark.checkpoint.dir and read again; the folder."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
+    path = f"{base.rstrip('/')}/ledgerloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def _deleted(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)  # noqa: SLF001
 
 
 def difference(expected: DataFrame, observed: DataFrame) -> DataFrame:

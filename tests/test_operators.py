@@ -113,6 +113,14 @@ def test_reconcile(spark):
     assert tuple(retrieval.reconcile_embeddings(chunks, emb, 2).first()) == (1, 1, 1, 1, 1)
 
 
+def test_long_cycles(spark):
+    ring = [(i, (i + 1) % 120) for i in range(120)]
+    # a ring of 120, a chain of 70 from it to a pair, a node that is its own parent, a chain without a cycle
+    edges = spark.createDataFrame([*ring, (119, 200), *[(i, i + 1) for i in range(200, 270)], (270, 269), (300, 300), (301, 300), (400, 401), (401, None)], "child int, parent int")
+    assert sorted(r.node for r in dataflow.in_cycles(edges).collect()) == [*range(120), 269, 270, 300]
+    assert dataflow.in_cycles(edges.limit(0)).count() == 0
+
+
 def test_cycles_and_identities(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), (5, 6)], "child int, parent int")
     assert sorted(r.node for r in dataflow.in_cycles(edges).collect()) == [1, 2, 3]
