@@ -556,6 +556,63 @@ def test_short_slots_are_kept():
         assert text == f"Title {i}\n\nLead {i}\n\n{body} {i}\n\nIn short, {i}."
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<p>one</p><p class='ad'>x<p>two<p>three", "one\n\ntwo\n\nthree"),
+    ("<ul><li class=share>1<li>2<li>3</ul><p>end</p>", "2\n\n3\n\nend"),
+    ("<button>Go<p>rest</p> more <h2>h</h2>", "rest\n\nmore\n\nh"),
+    ("<article><p>a</p><button>Share<p>two</p><div>x</div></article>", "a\n\ntwo\n\nx"),
+    ("<p><b title='x > y'>bold</b> z</p><p title='<i>'>q", "bold z\n\nq"),
+    ("<table><tr><td>1<td>2<tr><td class=ad>3<td>4</table>tail", "1\n\n2\n\n4\n\ntail"),
+    ("<p>a &am<b>p;</b> &lt;x&gt; a < b</p>", "a &amp; <x> a < b"),
+    ("<form><main class='has-sidebar'><p>text</p></main></form>", "text"),
+    ("<!--><p>a<!-- <p>b --!><p>c", "a\n\nc"),
+    ("<div class='ads'>x<div>y</div></div></p>z<footer>f", "z"),
+])
+def test_open_tags_lose_no_text(page, text):
+    assert htmltext.extract_group([page]) == [text]
+
+
+def test_broken_tags_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for page in ("<a " * 60000, "<a b=\"" * 60000, "<a b='c\" d=" * 30000, "<div>" * 30000, "<li><ul>" * 20000, "<b>x" * 30000):
+        htmltext.extract_group([page])
+    assert time.perf_counter() - began < 20
+
+
+def test_the_template_decides(spark, sf_dir):
+    pages = [r.html for r in table(spark, sf_dir, "pages").collect()]
+    own = lambda i, x: x if i % 2 else x.replace("<article>", "<div id=c>").replace("</article>", "</div>")
+    assert htmltext.extract_group([own(i, x) for i, x in enumerate(pages)]) == [plain_article(x) for x in pages]
+    parsed = [htmltext.tokens(x) for x in pages]
+    nothing = htmltext.Template([])
+    htmltext.Template(parsed)  # gives the tokens their keys
+    assert {nothing.text(x) for x in parsed} == {""}
+    # one page alone: whatever is not furniture by name; among others of its host, what changes
+    page = lambda i: f"<html><body><div id=x><a href=a>Home</a> <a href=b>News</a></div><div id=y><p>Story {i} {'word ' * 20}</p></div><div id=z>Imprint</div></body></html>"
+    assert htmltext.extract_group([page(1)])[0].endswith("Imprint")
+    assert htmltext.extract_group([page(i) for i in range(4)])[1] == f"Story 1 {'word ' * 20}".strip()
+
+
+def test_random_pages_keep_all_text():
+    """Whatever tags are left open or closed twice: without furniture every word comes out, in order."""
+    import random
+
+    r = random.Random(5)
+    names = "p div span b i ul li ol table tr td section h1 h2 a blockquote em dl dt dd".split()
+    for _ in range(300):
+        out, said = [], []
+        for k in range(r.randint(1, 40)):
+            what = r.random()
+            if what < 0.4:
+                said.append(f"w{k}")
+                out.append(f" w{k} ")
+            else:
+                out.append(f"<{'/' if what > 0.75 else ''}{r.choice(names)}{r.choice(['', ' x=1', ' y=\'>\'']) if what <= 0.75 else ''}>")
+        assert htmltext.extract_group(["".join(out)])[0].split() == said
+
+
 # queries and pipeline
 
 
