@@ -9,6 +9,7 @@ by side and minus infinity otherwise: exactly one path then has a finite score,
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -21,7 +22,12 @@ from pyspark.sql import types as T
 CACHE_UNITS, CACHE_UNIT_CHARS, CACHE_PAIRS = 200_000, 48, 500_000
 SPACE = "▁"
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-_AFTER_LETTERS = re.compile(r"(?<=[^\W\d_])(?=[\W\d_])")
+
+
+def _after_letters() -> re.Pattern:
+    """Between a letter and what is none, by str.isalpha: \\w also takes numerals such as superscripts and fractions."""
+    numerals = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+    return re.compile(rf"(?<=[^\W\d_{re.escape(numerals)}])(?=[\W\d_{re.escape(numerals)}])")
 
 
 class PieceModel:
@@ -50,8 +56,13 @@ class PieceModel:
         joined = {(x, y) for p in self.ids for x, y in zip(p, p[1:], strict=False)}
         #: Nor do a letter and what follows it, if that is no letter.
         self.splits_letters = not any(x.isalpha() and not y.isalpha() for x, y in joined)
+        self.after_letters = _after_letters() if self.splits_letters else None
         self.chars = {p for p in self.ids if len(p) == 1}
+        if self.bpe and not self.chars.issuperset("".join(self.ids)):
+            raise ValueError("a merge model whose pieces hold characters that are no pieces is not read")
         self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if self.types[i] == 3 else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
+        #: Score of a character that is no piece.
+        self.least = min((self.scores[i] for i in self.ids.values() if self.types[i] == 1), default=0.0) - 10
         self.fits: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         for p, i in self.ids.items():
@@ -109,49 +120,45 @@ class PieceModel:
         return out
 
     def _any(self, unit: str) -> list[int]:
+        """A unit with characters that are no piece: each becomes its bytes, or one unknown piece with those beside it."""
         n = len(unit)
         score = [-np.inf] * (n + 1)
-        last: list[tuple[int, int] | None] = [None] * (n + 1)
+        last = [(-1, 1)] * (n + 1)
         score[0] = 0.0
-        reached = 0  # positions up to here are settled; a gap before a match is filled by fallbacks
-        for end, (piece, size) in self.automaton.iter(unit):
-            end += 1
-            while reached < end - 1:
-                reached += 1
-                self._fallback(reached, score, last)
-            start = end - size
-            if score[start] == -np.inf:
-                continue
-            if self.bpe:
-                before = last[start]
-                if score[end] > -np.inf or (before is not None and before[0] >= 0 and not self.side_by_side(before[0], piece)):
-                    continue
-                score[end], last[end] = 0.0, (piece, size)
-            elif score[start] + self.scores[piece] > score[end]:
-                score[end], last[end] = score[start] + self.scores[piece], (piece, size)
-        while reached < n:
-            reached += 1
-            self._fallback(reached, score, last)
+        done = 0  # positions up to here are settled
+        matches = self.automaton.iter(unit)
+        end, match = next(matches, (n, None))
+        while done < n:
+            done += 1
+            while end + 1 == done:  # the longest first: the one that starts first wins a tie
+                piece, size = match
+                start = done - size
+                if self.bpe:
+                    before = last[start][0] if start else -1
+                    if score[start] == 0.0 and score[done] == -np.inf and (before < 0 or self.side_by_side(before, piece)):
+                        score[done], last[done] = 0.0, (piece, size)
+                elif score[start] + self.scores[piece] > score[done]:
+                    score[done], last[done] = score[start] + self.scores[piece], (piece, size)
+                end, match = next(matches, (n, None))
+            if unit[done - 1] not in self.chars and score[done - 1] + self.least > score[done]:
+                score[done], last[done] = 0.0 if self.bpe else score[done - 1] + self.least, (-1, 1)
         out: list[int] = []
-        at = n
+        at, unknown = n, False
         while at:
             piece, size = last[at]
             if piece >= 0:
                 out.append(piece)
-            else:
-                raw = unit[at - size : at].encode()
-                out += [self.bytes.get(b, self.unknown) for b in reversed(raw)] if self.bytes else [self.unknown]
+            elif self.bytes:
+                out += [self.bytes[b] for b in reversed(unit[at - 1].encode())]
+            elif not unknown:
+                out.append(self.unknown)
+            unknown = piece < 0
             at -= size
         out.reverse()
         return out
 
-    def _fallback(self, at: int, score: list, last: list) -> None:
-        """A character that no path reaches becomes bytes."""
-        if score[at] == -np.inf:
-            score[at], last[at] = (score[at - 1] if score[at - 1] > -np.inf else 0.0) - 1e6 * (not self.bpe), (-1, 1)
-
     def _unit(self, unit: str) -> bytes:
-        parts = _AFTER_LETTERS.split(unit) if self.splits_letters else [unit]
+        parts = self.after_letters.split(unit) if self.after_letters else [unit]
         if len(parts) > 1:
             return b"".join([self._cached(p) for p in parts])
         ids = self._chars_known(unit) if self.bpe and self.chars.issuperset(unit) else self._any(unit)

@@ -12,6 +12,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -471,7 +472,6 @@ def test_regions_hold_every_plausible_span(text):
 
 
 def test_pieces_match_the_library(corpus):
-    import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
     model = pieces.PieceModel(tokenizer_path("piece_bpe_32k.model"))
@@ -482,6 +482,40 @@ def test_pieces_match_the_library(corpus):
     assert all(model.decode(model.encode(x)) == x for x in texts)
 
 
+def test_pieces_of_odd_characters():
+    """The library's ids where letters, numerals of all kinds, marks and signs meet."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    own, lib = pieces.PieceModel(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    r = random.Random(3)
+    odd = "²³¹⁴½¼⅓ⅷ①㊿๙٣೨१௧零一二ªºµ"
+    for _ in range(8000):
+        t = "".join(r.choice("abc eiorstn.,-'_\n\t▁éßü你мир☃😀\u0301|0123456789()%mkx" + odd if r.random() < 0.7 else odd + "mx.) ") for _ in range(r.randint(0, 24)))
+        assert own.encode(t) == lib.encode(t), t
+    assert own.encode("10 m².") == lib.encode("10 m².")
+
+
+@pytest.mark.parametrize("with_bytes", [False, True])
+def test_unigram_pieces(with_bytes, tmp_path):
+    """Models written by hand: the library's ids, ties and unknown characters included."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    r = random.Random(1)
+    for k in range(12):
+        m = pb.ModelProto()
+        m.trainer_spec.model_type, m.trainer_spec.byte_fallback = 1, with_bytes
+        m.normalizer_spec.name, m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces, m.normalizer_spec.escape_whitespaces = "identity", True, False, True
+        known = {"<unk>": (0, 2), "<s>": (0, 3), "</s>": (0, 3)} | ({f"<0x{b:02X}>": (0, 6) for b in range(256)} if with_bytes else {})
+        known |= {p: (-r.randint(1, 200) / 8, 1) for p in [*"▁abcde", *("".join(r.choice("▁abcdefg") for _ in range(r.randint(2, 4))) for _ in range(60))]}
+        for p, (score, kind) in known.items():
+            m.pieces.add(piece=p, score=score, type=kind)
+        path = tmp_path / f"{k}.model"
+        path.write_bytes(m.SerializeToString())
+        own, lib = pieces.PieceModel(str(path)), sentencepiece.SentencePieceProcessor(model_file=str(path))
+        for _ in range(300):
+            t = "".join(r.choice("abcdefgh  é☃") for _ in range(r.randint(0, 14)))
+            assert own.encode(t) == lib.encode(t), t
+
+
 def test_pieces_queries(spark):
     path = tokenizer_path("piece_bpe_32k.model")
     df = docs_of(spark, ["the  thing", *EMPTY_TEXTS])
@@ -597,8 +631,6 @@ def test_the_template_decides(spark, sf_dir):
 
 def test_random_pages_keep_all_text():
     """Whatever tags are left open or closed twice: without furniture every word comes out, in order."""
-    import random
-
     r = random.Random(5)
     names = "p div span b i ul li ol table tr td section h1 h2 a blockquote em dl dt dd".split()
     for _ in range(300):
