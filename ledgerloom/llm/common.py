@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once by one task; bounds the numpy temporaries at about 40 times this.
@@ -19,9 +19,11 @@ ASCII_SPACE = (9, 10, 11, 12, 13, 32)
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, under spark.checkpoint.dir (a temporary one where that is unset)."""
+    """A new folder that driver and executors share, under spark.checkpoint.dir (a temporary one where that is unset, and all is one machine)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/ledgerloom-{uuid.uuid4().hex}"
@@ -49,9 +51,22 @@ def wide(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def quoted(name: str) -> Column:
+    """A column by its very name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df has not, in any case."""
+    have = {c.lower() for c in df.columns}
+    while name in have:
+        name += "_"
+    return name
+
+
 def text_columns(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under fixed names; other columns, whatever their names, are left out."""
-    return df.select(*[F.col(f"`{c}`").alias(name) for name, c in columns.items()])
+    return df.select(*[quoted(c).alias(name) for name, c in columns.items()])
 
 
 def flat(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -9,39 +9,63 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, BYTE_VALUES, LOWER, blocks, flat, span_hashes, text_columns, window_hashes, words
+from .common import ALNUM, BYTE_VALUES, LOWER, blocks, discard, materialize, span_hashes, text_columns, window_hashes, words
 
 WINDOW = 13
-#: Above this many windows the set is dealt over several passes instead of one broadcast (16 bytes a window).
-BROADCAST_WINDOWS = 4_000_000
+#: Above this many windows the set is dealt over several passes instead of one broadcast (40 bytes a window).
+BROADCAST_WINDOWS = 2_000_000
 
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_spans array<struct<start:long,end:long>>"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.int64())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+_FOUND = [("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.int64())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("row", pa.string())]
 _VALUES = BYTE_VALUES[LOWER]
 
 
-def _item_windows(item_id: int, text: str | None, size: int) -> list[tuple[int, bytes, int]]:
-    """(hash, words joined by a zero byte, item) of each window of a benchmark text."""
-    data = np.frombuffer((text or "").encode(), np.uint8)
-    starts, ends, _ = words(data, np.array([0, len(data)]), ALNUM)
-    if not len(starts):
-        return []
-    n = min(size, len(starts))
-    lowered = LOWER[data].tobytes()
-    seen = [lowered[a:b] for a, b in zip(starts, ends, strict=True)]
-    return [(n, int(h), b"\0".join(seen[i : i + n]), item_id) for i, h in enumerate(window_hashes(span_hashes(data, starts, ends, _VALUES), n).tolist())]
+#: Stands for an item without an id: its windows are hits, and it counts as no item.
+_NO_ITEM = -(1 << 63)
 
 
-class WindowSet:
-    """Hashes of windows by their length, with the words and items behind each hash."""
+def _digest(lowered: list[bytes]) -> bytes:
+    return hashlib.blake2b(b"\0".join(lowered), digest_size=16).digest()
+
+
+def item_windows(items: DataFrame, size: int) -> DataFrame:
+    """n (words), hash, digest (of the words) and item_id of each distinct window of benchmark texts, made by the executors."""
+
+    def emit(batches):
+        for batch in batches:
+            for part, data, at in blocks(batch, "text"):
+                starts, ends, doc = words(data, at, ALNUM)
+                hashes = span_hashes(data, starts, ends, _VALUES)
+                lowered = LOWER[data].tobytes()
+                base = np.searchsorted(doc, np.arange(len(at))).tolist()
+                for k, item in enumerate(part.column(0).to_pylist()):
+                    a, b = base[k], base[k + 1]
+                    if a == b:
+                        continue
+                    n = min(size, b - a)
+                    seen = [lowered[x:y] for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)]
+                    h = window_hashes(hashes[a:b], n).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([n] * len(h), pa.int32()), pa.array(h), pa.array([_digest(seen[i : i + n]) for i in range(len(h))], pa.binary()), pa.array([item] * len(h), pa.int64())], names=["n", "hash", "digest", "item_id"])
+
+    return items.mapInArrow(emit, "n int, hash long, digest binary, item_id long").distinct()
 
-    def __init__(self, entries: list[tuple[int, int, bytes, int]]) -> None:
-        self.by_length: dict[int, dict[int, dict[bytes, list[int]]]] = {}
-        for n, h, text, item in entries:
-            self.by_length.setdefault(n, {}).setdefault(h, {}).setdefault(text, []).append(item)
-        self.sorted = {n: np.sort(np.fromiter(d, np.uint64, len(d))) for n, d in self.by_length.items()}
+
+class WindowSet:
+    """Sorted hashes of windows by their length, with the digests and items behind each, all as plain arrays."""
+
+    def __init__(self, table: pa.Table) -> None:
+        length = table.column("n").to_numpy().astype(np.int64)
+        h = table.column("hash").to_numpy().view(np.uint64)
+        digests = np.frombuffer(b"".join(table.column("digest").to_pylist()), "S16") if len(h) else np.zeros(0, "S16")
+        items = table.column("item_id").fill_null(_NO_ITEM).to_numpy()
+        self.known: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in np.unique(length).tolist():
+            own = np.flatnonzero(length == n)
+            own = own[np.argsort(h[own], kind="stable")]
+            self.known[n] = h[own], digests[own], items[own]
+
+    def prepare(self) -> None:
         self.first = {}
-        for n, known in self.sorted.items():  # a bit for each 20-bit prefix spares most searches
+        for n, (known, _, _) in self.known.items():  # a bit for each 20-bit prefix spares most searches
             bits = np.zeros(1 << 20, bool)
             bits[(known >> np.uint64(44)).astype(np.int64)] = True
             self.first[n] = bits
@@ -51,16 +75,16 @@ class WindowSet:
         starts, ends, doc = words(data, at, ALNUM)
         hashes = span_hashes(data, starts, ends, _VALUES)
         found = []
-        for n, known in self.sorted.items():
+        for n, (known, digests, items) in self.known.items():
             h = window_hashes(hashes, n)
             maybe = np.flatnonzero(self.first[n][(h >> np.uint64(44)).astype(np.int64)])
             maybe = maybe[doc[maybe] == doc[maybe + n - 1]]
-            maybe = maybe[known[np.minimum(np.searchsorted(known, h[maybe]), len(known) - 1)] == h[maybe]]
-            for i in maybe.tolist():
-                text = b"\0".join(LOWER[data[starts[j] : ends[j]]].tobytes() for j in range(i, i + n))
-                items = self.by_length[n][int(h[i])].get(text)
-                if items:
-                    found.append((i, n, items))
+            low, high = np.searchsorted(known, h[maybe]), np.searchsorted(known, h[maybe], "right")
+            for i, a, b in zip(maybe[low < high].tolist(), low[low < high].tolist(), high[low < high].tolist(), strict=True):
+                own = np.array(_digest([LOWER[data[starts[j] : ends[j]]].tobytes() for j in range(i, i + n)]), "S16")
+                who = items[a:b][digests[a:b] == own].tolist()
+                if who:
+                    found.append((i, n, who))
         return starts, ends, doc, found
 
 
@@ -69,20 +93,16 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc
 
     Words are runs of ASCII letters (A-Z lower-cased), digits and non-ASCII characters; a window is `window` words in
     a row of one item, or all words of a shorter one.  hit_spans are character spans [start, end) of runs of hit words.
-    Null or empty texts have no words and no hits; repeated rows, ties and items with equal texts all count; an empty
+    Null or empty texts have no words and no hits; repeated rows, ties and items with equal texts all count, items without an id in n_hit alone; an empty
     benchmark hits nothing.  The benchmark's windows are broadcast in parts of BROADCAST_WINDOWS at most; each part is
     a further pass over the documents, and the parts' hits are united.
     """
     docs = text_columns(documents, doc_id=doc_id, text=text)
-    items = text_columns(benchmark, item_id=item_id, text=item_text)
-    entries, parts = [], []
-    for row in items.toLocalIterator():  # one partition at a time; what stays is bounded per part
-        entries += _item_windows(row.item_id, row.text, window)
-        if len(entries) >= BROADCAST_WINDOWS:
-            parts.append(entries)
-            entries = []
-    parts.append(entries)
-    scans = [_scan(docs, part, len(parts) > 1) for part in parts]
+    windows = materialize(item_windows(text_columns(benchmark, item_id=item_id, text=item_text), window))
+    parts = max(1, -(-windows.count() // BROADCAST_WINDOWS))
+    part = lambda i: WindowSet(windows.where(F.pmod(F.xxhash64("hash"), F.lit(parts)) == i).toArrow())
+    scans = [_scan(docs, part(i), parts > 1) for i in range(parts)]  # the driver holds one part at a time
+    discard(windows)
     if len(scans) > 1:
         united = scans[0]
         for other in scans[1:]:
@@ -100,13 +120,13 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), F.col("spans").alias("hit_spans"))
 
 
-def _scan(docs: DataFrame, entries: list, several: bool) -> DataFrame:
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(entries)
-    schema = pa.schema([*_ARROW, ("row", pa.string())])
+def _scan(docs: DataFrame, windows: WindowSet, several: bool) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(windows)
+    names = ["doc_id", *(n for n, _ in _FOUND)]
 
     def scan(batches):
-        windows = WindowSet(shared.value)
+        windows = shared.value
+        windows.prepare()
         for batch in batches:
             for part, data, at in blocks(batch, "text"):
                 starts, ends, doc, found = windows.scan(data, at)
@@ -127,13 +147,13 @@ def _scan(docs: DataFrame, entries: list, several: bool) -> DataFrame:
                         items[d] += who
                     covered = np.cumsum(mark[:-1]) > 0
                     hits[d] = np.flatnonzero(covered).tolist()
-                    items[d] = sorted(set(items[d]))
+                    items[d] = sorted(set(items[d]) - {_NO_ITEM})
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], covered.view(np.int8), [0]])))
                     chars = np.cumsum((data[at[d] : at[d + 1]] & 0xC0) != 0x80)
                     for a, b in edge.reshape(-1, 2):
                         s, e = starts[base[d] + a] - at[d], ends[base[d] + b - 1] - at[d]
                         spans[d].append({"start": int(chars[s]) - 1, "end": int(chars[e - 1])})
                 digest = [hashlib.md5(data[at[i] : at[i + 1]]).hexdigest() for i in range(n)] if several else [None] * n
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(hits, schema[2].type), pa.array(items, schema[3].type), pa.array(spans, schema[4].type), pa.array(digest, pa.string())], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(hits, _FOUND[1][1]), pa.array(items, _FOUND[2][1]), pa.array(spans, _FOUND[3][1]), pa.array(digest, pa.string())], names=names)
 
-    return docs.mapInArrow(scan, "doc_id long, n_words long, hits array<int>, items array<long>, spans array<struct<start:long,end:long>>, row string")
+    return docs.mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, hits array<int>, items array<long>, spans array<struct<start:long,end:long>>, row string")

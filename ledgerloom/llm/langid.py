@@ -6,18 +6,20 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import key_bound, text_columns
+from .common import key_bound, quoted, text_columns
 
 #: Bytes of the raw-content dictionary of one language, and rows looked at for it: the bounds of the fitted sample.
 DICTIONARY_BYTES = 112 << 10
 SAMPLE_ROWS = 400
 #: Rows looked at for one that a dictionary takes.
 SPARE = 4
-#: Languages with fewer labelled rows are still learned; a corpus has at most this many labels.
+#: A dictionary goes to every worker for each label: more labels are refused, so that is 28 MB at most.
 MAX_LANGUAGES = 256
 #: Text is encoded in pieces, so that each piece leans on the dictionary and not on the text's own beginning.
 PIECE_BYTES = 4096
@@ -75,7 +77,7 @@ class Model:
 
 def held_out(doc_id: str = "doc_id"):
     """Rows that are never learned from: crc32 of the id as text is a multiple of 5."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return F.coalesce(F.crc32(quoted(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def fit(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
@@ -89,9 +91,11 @@ def fit(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     piece = F.expr(f"substring(text, cast(1 + (length(text) - least(length(text), {per_row})) / 2 as int), {per_row})")
     key = F.xxhash64("doc_id", "text")
     # counts without text tell how small a key must be: what is gathered for the choice does not grow with the input
-    counts = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("lang").agg(F.count("*").alias("n")).collect()
+    counts = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
     if not counts:
         return Model({})
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     bounds = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, key_bound(r.n, SPARE * SAMPLE_ROWS))])
     ranked = known.select("lang", key.alias("k"), piece.alias("piece")).where(F.col("k") <= bounds[F.col("lang")])
     chosen = _smallest(ranked).toPandas()
@@ -123,27 +127,24 @@ def _smallest(ranked: DataFrame) -> DataFrame:
     return ranked.mapInArrow(local, schema).repartition(16, F.abs(F.hash("k")) % 16).mapInArrow(local, schema).coalesce(1).mapInArrow(local, schema)
 
 
-def identify(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def identify(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
     """Predicts the language of every whole text.
 
-    Returns doc_id, held_out, lang_pred, score (0 to 1), accepted (false where the margin is narrow), after the columns
-    of `keep`.  Null texts and texts without a letter get `und`, score 0, not accepted; rows are independent, so repeated
-    rows and ties (the first language by name) need no order; an empty table gives an empty result.
+    Returns doc_id, held_out, lang_pred, score (0 to 1), accepted (false where the margin is narrow); with `keep` also
+    `kept`, the whole row as a struct, so that no column of it can clash with these.  Null texts and texts without a
+    letter get `und`, score 0, not accepted; rows are independent, so repeated rows and ties (the first language by name)
+    need no order; an empty table gives an empty result.
     """
-    docs = documents.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{doc_id}`").alias("_id"), held_out(doc_id).alias("held_out"), F.col(f"`{text}`").alias("_text"))
+    docs = documents.select(quoted(doc_id).alias("doc_id"), held_out(doc_id).alias("held_out"), *([F.struct(*[quoted(c) for c in documents.columns]).alias("kept")] if keep else [quoted(text).alias("text")]))
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    n = len(keep)
+    place = documents.columns.index(text)
+    schema = T.StructType([*docs.schema.fields[: 3 if keep else 2], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
 
     def predict(batches):
         for b in batches:
-            out = [shared.value.predict(x.as_py()) for x in b.column(n + 2)]
+            texts = pc.struct_field(b.column(2), [place]) if keep else b.column(2)
+            out = [shared.value.predict(x.as_py()) for x in texts]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[: n + 2], pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.bool_())],
-                names=[*b.schema.names[: n + 2], "lang_pred", "score", "accepted"])
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*docs.schema.fields[: n + 2], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
-    return docs.mapInArrow(predict, schema).withColumnRenamed("_id", "doc_id")
-
+                [*b.columns[: 3 if keep else 2], pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.bool_())], names=schema.names)
 
+    return docs.mapInArrow(predict, schema)

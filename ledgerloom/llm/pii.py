@@ -18,14 +18,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import key_bound, text_columns
+from .common import key_bound, quoted, text_columns
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents with a base span that training looks at, at most: those with the smallest hashed ids.
 SAMPLE_ROWS = 400
-#: Documents looked at for one that training takes.
-SPARE = 100
+#: Documents looked at for one that training takes, and base spans of one that it takes at most.
+SPARE, SAMPLE_SPANS = 100, 4
 WINDOW, STRIDE, REACH = 64, 32, 32
 HIDDEN, EMBED, STEPS, BATCH = 32, 12, 800, 32
 #: An added span needs this mean marginal probability over its characters.
@@ -426,14 +427,15 @@ def training_windows(labelled: list[tuple[str, list]], count: int = 6000, seed:
 def fit(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS, steps: int = STEPS) -> Tagger:
     """Trains a tagger on surroundings of base spans in `rows` documents at most, and on rewritten and invented values.
 
-    The documents are those with the smallest hashed ids among about SPARE * rows that are looked at (all of a smaller table).
+    The documents are those with the smallest hashed ids among about SPARE * rows that are looked at (all of a smaller
+    table); each gives SAMPLE_SPANS spans at most, so that no document of nothing but numbers fills the sample.
     """
     docs = text_columns(documents, doc_id=doc_id, text=text).select(F.xxhash64("doc_id", "text").alias("k"), "text").where("text is not null")
     docs = docs.where(F.col("k") <= key_bound(documents.count(), SPARE * rows))  # what is gathered does not grow with the input
 
     def surroundings(batches):
         for b in batches:
-            found = [(k, pick) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (pick := [t[max(0, x - WINDOW) : y + WINDOW] for _, x, y in base_spans(t)[:4]])]
+            found = [(k, pick) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (pick := [t[max(0, x - WINDOW) : y + WINDOW] for _, x, y in base_spans(t)[:SAMPLE_SPANS]])]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([p for _, p in found], pa.list_(pa.string()))], names=["k", "near"])
 
     picked = docs.mapInArrow(surroundings, "k long, near array<string>").orderBy("k").limit(rows).toPandas()
@@ -448,34 +450,33 @@ def _text_of(spans: list[tuple[str, int, int]]) -> str:
 
 
 def find_personal_data(documents: DataFrame, tagger: Tagger | None, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Personal data in every whole text, after the columns of `keep`.
+    """Personal data in every whole text.
 
     doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base and added, as kind:start:end by kind
     and start), n_added, masked (the text with each span replaced by its kind in square brackets; of spans that overlap
-    the earlier one counts).  Null texts count as empty and stay null in masked; rows are independent, so ties and
-    repeated rows keep their own spans; an empty table gives an empty result.
+    the earlier one counts); with `keep` also `kept`, a struct of those columns, so that none can clash with these.  Null
+    texts count as empty and stay null in masked; rows are independent, so ties and repeated rows keep their own spans; an
+    empty table gives an empty result.
     """
-    from pyspark.sql import types as T
-
-    docs = documents.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
+    docs = documents.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"), *([F.struct(*[quoted(c) for c in keep]).alias("kept")] if keep else []))
     shared = documents.sparkSession.sparkContext.broadcast(tagger)
-    n = len(keep)
-    schema = T.StructType([*docs.schema.fields[: n + 1], *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS], T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_added", T.LongType()), T.StructField("masked", T.StringType())])
+    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS], T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_added", T.LongType()), T.StructField("masked", T.StringType()), *docs.schema.fields[2:]])
 
     def find(batches):
         for whole in batches:
             for i in range(0, whole.num_rows, 256):
                 b = whole.slice(i, 256)
-                raw = b.column(n + 1).to_pylist()
+                raw = b.column(1).to_pylist()
                 texts = [x or "" for x in raw]
                 base = [base_spans(x) for x in texts]
                 more = added_spans(shared.value, texts, base) if shared.value is not None else [[] for _ in texts]
                 counts = [pa.array([sum(k == s[0] for s in x) for x in base], pa.int64()) for k in KINDS]
                 digests = pa.array([hashlib.sha256(_text_of(x).encode()).hexdigest() for x in base])
                 masked = [None if r is None else mask(t, x + y) for r, t, x, y in zip(raw, texts, base, more, strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns[: n + 1], *counts, digests, pa.array([_text_of(x + y) for x, y in zip(base, more, strict=True)], pa.string()), pa.array([len(x) for x in more], pa.int64()), pa.array(masked, pa.string())], names=schema.names)
+                spans = pa.array([_text_of(x + y) for x, y in zip(base, more, strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([b.column(0), *counts, digests, spans, pa.array([len(x) for x in more], pa.int64()), pa.array(masked, pa.string()), *b.columns[2:]], names=schema.names)
 
-    return docs.mapInArrow(find, schema).withColumnRenamed("_id", "doc_id" if "doc_id" not in keep else "_id")
+    return docs.mapInArrow(find, schema)
 
 
 def mask(text: str, spans: list[tuple[str, int, int]]) -> str:

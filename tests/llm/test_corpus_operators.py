@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import hashlib
 import html
 import itertools
 import random
@@ -191,13 +192,13 @@ def test_decontamination(spark, monkeypatch):
         for i, x in enumerate(texts):
             n, hit, who, bad = plain_hits(x, items)
             g = got[i]
-            import hashlib
-
             assert (g.n_words, g.n_hit, g.n_items, g.items_sha256, g.contaminated) == (n, hit, len(who), hashlib.sha256(",".join(who).encode()).hexdigest(), bad), (i, x)
         if part != 3:
             assert all((x or "")[s.start : s.end].strip("-\n ") for i, x in enumerate(texts) for s in got[i].hit_spans)
     assert contamination.decontaminate(df, bench.limit(0)).where("contaminated").count() == 0
     assert contamination.decontaminate(df.limit(0), bench).count() == 0
+    nameless = contamination.decontaminate(docs_of(spark, ["a zeta eta b"]), spark.createDataFrame([(None, "zeta eta")], "item_id long, text string")).first()
+    assert (nameless.n_hit, nameless.n_items, nameless.contaminated) == (2, 0, True)
 
 
 # 4 Jaccard join
@@ -250,24 +251,28 @@ def test_jaccard(spark, block):
     assert [(got[i].n_shingles, got[i].component_id) for i in range(len(texts))] == plain_components(texts)
 
 
-def test_jaccard_loose_sets(spark, monkeypatch):
-    """Sets that no key covers are compared directly."""
-    monkeypatch.setattr(jaccard.Keys, "of", lambda self, h: (np.zeros(0, np.uint64), False))
-    texts = near_copies(5)
-    found = jaccard._compare_loose(docs_of(spark, texts).select("doc_id", "text"), jaccard._named(docs_of(spark, texts).select("doc_id", "text"), 4).where("set_id is not null").selectExpr("set_id", "doc_id as first", "true as loose"), 4, 85)
-    got = {r.node: r.root for r in connected(found).collect()}
-    ids = {r.doc_id: r.set_id for r in jaccard._named(docs_of(spark, texts).select("doc_id", "text"), 4).collect()}
-    want = plain_components(texts)
-    for i in range(len(texts)):
-        for j in range(i):
-            if want[i][0] and want[j][0]:
-                assert (want[i][1] == want[j][1]) == (got.get(ids[i], ids[i]) == got.get(ids[j], ids[j]))
+def test_jaccard_loose_sets():
+    """Two linked sets share a key of the prefix filter, whatever their classes."""
+    keys = jaccard.Keys(85)
+    data, at = flat(pa.array(near_copies(5), pa.string()))
+    sets = [s for s in jaccard.shingle_sets(data, at) if len(s)]
+    linked = 0
+    for a, b in itertools.combinations(sets, 2):
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= 85 * (len(a) + len(b) - both):
+            linked += 1
+            assert len(np.intersect1d(keys.prefix(a), keys.prefix(b)))
+    assert linked > 20
+    # of a set whose elements all fall into one class the keys do not tell
+    assert not keys.of(np.arange(40, dtype=np.uint64))[1]
 
 
 def test_jaccard_edges(spark):
     df = spark.createDataFrame([(1, "a b c d e"), (1, "x y z v w"), (0, "x y z v w"), (None, "a b c d e"), (5, "a b c d e")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id) for r in jaccard.link_texts(df).collect()), key=str)
-    assert got == sorted([(1, 1), (1, 0), (0, 0), (None, None), (5, 1)], key=str)
+    assert got == sorted([(1, 1), (1, 0), (0, 0), (None, 1), (5, 1)], key=str)
+    alone = spark.createDataFrame([(None, "p q r s"), (None, "p q r s"), (None, None)], "doc_id long, text string")
+    assert [r.component_id for r in jaccard.link_texts(alone).collect()] == [None] * 3
     assert jaccard.link_texts(docs_of(spark, [])).count() == 0
     assert jaccard.link_texts(docs_of(spark, [None, ""])).count() == 2
 
@@ -294,10 +299,10 @@ def test_linked_sets_share_a_key(n):
 def test_language(spark, sf_dir):
     documents = table(spark, "/root/testdata/sf0.01", "documents")
     model = langid.fit(documents)
-    got = langid.identify(documents, model, keep=("lang",)).collect()
+    got = langid.identify(documents, model, keep=True).collect()
     held = [r for r in got if r.held_out]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
-    assert np.mean([r.lang == r.lang_pred for r in held]) > 0.95
+    assert np.mean([r.kept.lang == r.lang_pred for r in held]) > 0.95
     odd = rows(langid.identify(docs_of(spark, [*EMPTY_TEXTS, "123 ...", "the and"]), model))
     assert [odd[i].lang_pred for i in (0, 1, 2, 3, 7)] == ["und"] * 5 and not odd[0].accepted and odd[4].lang_pred in model.languages
     assert all(0 <= r.score <= 1 for r in [*got, *odd.values()])
@@ -437,6 +442,8 @@ def test_personal_data(spark, sf_dir):
         base = plain_spans(t or "") if len(t or "") < 1000 else pii.base_spans(t)
         assert set(pii._text_of(base).split(",")) <= set(got[i].spans.split(","))
         assert (got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone) == tuple(sum(s[0] == k for s in base) for k in pii.KINDS)
+        digest = hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in sorted(base, key=lambda x: (pii.KINDS.index(x[0]), x[1]))).encode()).hexdigest()
+        assert got[i].base_sha256 == digest
     assert got[0].masked == "mail me: [EMAIL] now" and got[3].spans == "" and got[5].masked is None
     # two cards side by side are one match of the pattern, which fails; the network finds both
     pairs = ["und der 4785380592391139 4994226020900891 die das", "the, +1 (743) 555-3824 70.23.22.57 this", "no 9870157079875996 card and 11acdfb36bb72224148e6160f674b4be45601bff"]
@@ -468,6 +475,21 @@ def test_regions_hold_every_plausible_span(text):
         assert not pii._plausible(kind, "water, cream and hat") and not pii._plausible(kind, "no sign or number")
 
 
+def test_regions_miss_no_span(spark, sf_dir, monkeypatch):
+    """The network over whole texts adds no span that it does not add over the places that can hold one."""
+    documents = table(spark, "/root/testdata/sf0.01", "documents")
+    tagger = pii.fit(documents)
+    r = random.Random(8)
+    texts = [x.text[:3000] for x in documents.limit(60).collect()]
+    texts = [x[: len(x) // 2] + " " + pii._rewritten(k, pii._invented(k, r), r) + " " + x[len(x) // 2 :] for x in texts for k in pii.KINDS]
+    base = [pii.base_spans(x) for x in texts]
+    near = pii.added_spans(tagger, texts, base)
+    monkeypatch.setattr(pii, "regions", lambda x: [(0, len(x))] if x else [])
+    whole = pii.added_spans(tagger, texts, base)
+    missed = sum(s not in n and not any(a < s[2] and s[1] < b for _, a, b in n) for w, n in zip(whole, near, strict=True) for s in w)
+    assert sum(map(len, whole)) > 20 and missed <= 0.03 * sum(map(len, whole))
+
+
 # 9 SentencePiece
 
 
@@ -675,3 +697,33 @@ def test_pipeline(spark, sf_dir):
     last = p.STAGES[4][1](spark, masked, sf_dir)
     assert last.count() == masked.count() and last.where("not round_trip").count() == 0
     assert p.run(spark, sf_dir).count() == last.count()
+
+
+def test_pipeline_rows_and_names(spark, sf_dir):
+    """Rows are told by id and text: repeated and null ids lose no text, and no column's name is in the way."""
+    import corpus_pipeline as p
+
+    names = "accepted lang_pred score held_out kept masked spans n_email n_added _text _id key alike set_id root component_id hits items n_words contaminated row text_ `odd.name".split()
+    base = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in table(spark, sf_dir, "documents").limit(40).collect()]
+    a, b = (f"{x} " * 3 + "the one and the other of them are here to be read by all the people who came in from the cold night" for x in ("alpha beta", "gamma delta"))
+    made = [(9001, a), (9002, a), (9002, b), (None, b), (9003, b), (None, a), (9004, "only one of this kind, and it is long enough to be told"), (9004, "only one of this kind, and it is long enough to be told")]
+    item = table(spark, sf_dir, "benchmark").first().text
+    made += [(9005, item), (9005, "quite another text under the same id, which nobody has ever put into a test")]
+    rows_ = base + [(i, t, "en", "s", len(t)) for i, t in made]
+    plain = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars long")
+    wide = spark.createDataFrame([(*r, *["v"] * len(names)) for r in rows_], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n.replace('`', '``')}` string" for n in names))
+    single = p.near_duplicates(spark, plain, sf_dir)
+    have = sorted((r.doc_id, r.text) for r in single.where("doc_id >= 9000 or doc_id is null").collect())
+    assert have == sorted({(9001, a), (9002, b), (9004, made[6][1]), *((i, t) for i, t in made[8:])})
+    clean = p.decontamination(spark, single, sf_dir)
+    assert [r.text for r in clean.where("doc_id = 9005").collect()] == [made[9][1]]
+    for _, stage in p.STAGES[:-1]:
+        plain, wide = stage(spark, plain, sf_dir), stage(spark, wide, sf_dir)
+        assert wide.columns == [*plain.columns, *names]
+        assert sorted(map(str, wide.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+        assert all(x == "v" for r in wide.collect() for x in r[5:])
+    assert p.STAGES[-1][1](spark, wide, sf_dir).count() == plain.count()
+    empty = table(spark, sf_dir, "documents").limit(0)
+    for _, stage in p.STAGES:
+        empty = stage(spark, empty, sf_dir) if "text" in empty.columns else empty
+    assert empty.count() == 0
