@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.errors import Refused
+from ..sources.ledger import shared_folder
 
 
 def latest_per_key(df: DataFrame, keys: list[str], date: str, cutoff: Column, first_seen: str) -> DataFrame:
@@ -77,42 +77,69 @@ def resolve_identities(records: DataFrame) -> DataFrame:
     """record_id, entity_id, resolution over (record_id, kind, scheme, value).
 
     Records that share a global identifier belong together only in pairs: exactly one DomesticETF and one FundShareClass
-    that share nothing with others are merged under the lesser id; all others that share something are AMBIGUOUS.
+    that share nothing with others are merged under the lesser id; all others that share something are AMBIGUOUS.  Sums
+    per value (least and greatest record) tell it: no value's records are gathered, however many hold it.
     """
-    pairs = records.groupBy("scheme", "value").agg(F.collect_set(F.struct("record_id", "kind")).alias("who"), F.count_distinct("record_id").alias("n")).where("n > 1")
-    links = pairs.select(F.explode("who").alias("w"), "who").select(F.col("w.record_id").alias("record_id"), F.transform("who", lambda x: x["record_id"]).alias("ids"), F.array_sort(F.array_distinct(F.transform("who", lambda x: x["kind"]))).alias("kinds"))
-    per = links.groupBy("record_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("kinds"))
-    # both ends must see the same two records
-    ends = per.select("record_id", F.explode("ids").alias("other"), F.col("ids").alias("mine")).join(per.select(F.col("record_id").alias("other"), F.col("ids").alias("theirs")), "other")
-    agreed = ends.groupBy("record_id").agg(F.min((F.col("mine") == F.col("theirs")).cast("int")).alias("same"))
-    good = per.join(agreed, "record_id").select("record_id", "ids", ((F.size("ids") == 2) & (F.col("same") == 1) & (F.col("kinds") == F.array(F.lit("DomesticETF"), F.lit("FundShareClass")))).alias("merge"))
+    kinds = F.min("kind").alias("kind_a"), F.max("kind").alias("kind_b")
+    held = records.groupBy("scheme", "value").agg(F.min("record_id").alias("a"), F.max("record_id").alias("b"), F.count_distinct("record_id").alias("n"), *kinds).where("n > 1")
+    pair = (F.col("n") == 2) & (F.col("kind_a") == "DomesticETF") & (F.col("kind_b") == "FundShareClass")
+    shared = records.select("record_id", "scheme", "value").distinct().join(held.withColumn("pair", pair).drop("kind_a", "kind_b"), ["scheme", "value"])
+    # every value that a record shares must name the same pair, for it and for the other one
+    per = shared.groupBy("record_id").agg(F.min("a").alias("a"), F.max("a").alias("a2"), F.min("b").alias("b"), F.max("b").alias("b2"), F.min("pair").alias("pair"))
+    own = per.withColumn("fine", F.col("pair") & (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")))
+    agreed = own.where("pair").groupBy("a", "b").agg(F.count_if("fine").alias("fine_ends"))
+    good = own.join(agreed, ["a", "b"], "left").select("record_id", "a", (F.col("fine") & (F.coalesce("fine_ends", F.lit(0)) == 2)).alias("merge"))
     return records.select("record_id").distinct().join(good, "record_id", "left").select(
-        "record_id", F.when(F.col("merge"), F.col("ids")[0]).otherwise(F.col("record_id")).alias("entity_id"),
+        "record_id", F.when(F.col("merge"), F.col("a")).otherwise(F.col("record_id")).alias("entity_id"),
         F.when(F.col("merge").isNull(), "SINGLE").when(F.col("merge"), "MERGED").otherwise("AMBIGUOUS").alias("resolution"))
 
 
+#: Rounds in which edges that lie on no cycle are taken away one by one; what they leave is doubled.
+TRIMS = 16
+
+
 def in_cycles(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
-    """Nodes that reach themselves, however long the cycle.
+    """Nodes that reach themselves, however long the cycle; null ends are left out.
 
-    Pairs (start, at) of the transitive closure are doubled in length and written out each round until none is new, which
-    a cycle or path of n edges takes log2(n) rounds for; there are as many pairs as nodes reach others.
+    First edges that lie on no cycle go: those that start where none ends or end where none starts, TRIMS rounds at most,
+    each a pair of semi-joins; an ordinary graph without cycles is empty then.  Of what is left, `steps` are the pairs
+    exactly 2^k edges apart and `reach` those up to 2^k apart, doubled and written out each round; a node that has reached
+    itself is not followed any further, and the rounds (log2 of the longest way) end when no pair is new.
     """
+    spark = edges.sparkSession
     reach, path = _written(edges.select(F.col(child).alias("start"), F.col(parent).alias("at")).dropna().distinct())
-    have, before = reach.count(), -1
-    while have != before:
-        further = reach.join(reach.select(F.col("start").alias("at"), F.col("at").alias("end")), "at").select("start", F.col("end").alias("at"))
+    have, before, trims = reach.count(), -1, 0
+    while have != before and trims < TRIMS and have:
+        kept = reach.join(reach.select(F.col("at").alias("start")), "start", "left_semi")
+        kept = kept.join(reach.select(F.col("start").alias("at")), "at", "left_semi").select("start", "at")
         old = path
-        reach, path = _written(reach.unionByName(further).distinct())
-        _deleted(edges.sparkSession, old)
-        have, before = reach.count(), have
-    return reach.where("start = at").select(F.col("start").alias("node"))
+        reach, path = _written(kept)
+        _deleted(spark, old)
+        have, before, trims = reach.count(), have, trims + 1
+    steps, steps_path = reach, path
+    found: list[DataFrame] = []
+    before = -1
+    while have and have != before:
+        own, _ = _written(reach.where("start = at").select(F.col("start").alias("node")).distinct())
+        found.append(own)
+        hop = steps.select(F.col("start").alias("at"), F.col("at").alias("end"))
+        open_ = reach.join(own.select(F.col("node").alias("start")), "start", "left_anti").select("start", "at")
+        further = open_.join(hop, "at").select("start", F.col("end").alias("at"))
+        now, now_path = _written(open_.unionByName(further).distinct())
+        have, before = now.count(), open_.count()
+        after, after_path = _written(steps.join(hop, "at").select("start", F.col("end").alias("at")).distinct()) if have != before else (steps, None)
+        for old in {path, steps_path} if after_path else ():
+            _deleted(spark, old)
+        reach, path = now, now_path
+        if after_path:
+            steps, steps_path = after, after_path
+    none = edges.select(F.col(child).alias("node")).limit(0)
+    return reduce(lambda a, b: a.unionByName(b), found, none).distinct()
 
 
 def _written(df: DataFrame) -> tuple[DataFrame, str]:
-    """df, written to a new folder in spark.checkpoint.dir and read again; the folder."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
-    path = f"{base.rstrip('/')}/ledgerloom-{uuid.uuid4().hex}"
+    """df, written to a new folder that executors share and read again; the folder."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

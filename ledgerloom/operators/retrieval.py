@@ -107,7 +107,10 @@ def chunk_text(text: str, least: int = 300, most: int = 800, overlap: int = 75)
 
 
 def chunk_documents(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", **bounds: int) -> DataFrame:
-    """doc_id, ordinal, start_word, end_word, text, content_hash, first_seen of every chunk; repeated chunks of one document are left out."""
+    """doc_id, ordinal, start_word, end_word, text, content_hash of every chunk; of equal chunks of a document the first stays.
+
+    Null and empty texts have no chunk; rows are independent, so repeated rows keep their own chunks.
+    """
 
     def run(batches):
         for b in batches:

@@ -35,14 +35,37 @@ class Binding:
         return (*PLAIN, *(ORDERED if self.kind in ("decimal", "integer", "date") else ()), *(("contains",) if self.contains else ()))
 
 
+@dataclass(frozen=True)
+class Member:
+    """What a product must be proven to say of itself to belong to a family whose source lists others as well."""
+
+    family: str
+    metric_id: str
+    value: str
+    version: str = "1"
+
+
+@dataclass(frozen=True)
+class Proof:
+    """The checked set of representative edges of a family: aggregates over representatives are refused for any other set."""
+
+    family: str
+    predicate: str
+    dataset_version: str
+    edges_hash: str
+
+
 class Registry:
-    """Bindings by family and concept; frozen, and hashed by content."""
+    """Bindings by family and concept, members of families, predicates that need a day, proofs of populations; frozen, and hashed by content."""
 
-    def __init__(self, bindings: tuple[Binding, ...]) -> None:
+    def __init__(self, bindings: tuple[Binding, ...], members: tuple[Member, ...] = (), dated: tuple[str, ...] = (), proofs: tuple[Proof, ...] = ()) -> None:
+        self.members = {m.family: m for m in members}
+        self.dated = frozenset(dated)
+        self.proofs = {p.family: p for p in proofs}
         self._by = {(b.family, b.concept): b for b in bindings}
         if len(self._by) != len(bindings):
             raise Refused("BINDING_DUPLICATE")
-        self.hash = hashlib.sha256(json.dumps([asdict(b) for b in bindings], sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+        self.hash = hashlib.sha256(json.dumps([[asdict(b) for b in bindings], [asdict(m) for m in members], sorted(dated), [asdict(p) for p in proofs]], sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
     def binding(self, family: str, concept: str) -> Binding:
         found = self._by.get((family, concept)) or self._by.get(("*", concept))
@@ -66,5 +89,8 @@ DEFAULT = Registry((
     Binding("*", "size", "part.size", "integer", "unit", ("avg", "min", "max")),
     Binding("*", "brand", "part.brand", "text", contains=True),
     Binding("*", "promo_size", "part.promo_size", "integer", "unit", ("avg", "min", "max")),
+    Binding("*", "grade", "part.grade", "text"),
+    Binding("*", "maturity", "part.maturity", "date"),
+    Binding("*", "remaining_days", "part.remaining_days", "integer", "day", ("min", "max")),
     Binding("*", "margin", "part.margin", "decimal", "amount", available=False),
 ))

@@ -88,14 +88,11 @@ def _hashed(spark, sf_dir):
     return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("chunk_id"), F.col("item_id").alias("doc_id"), F.sha2("text", 256).alias("content_hash"))
 
 
-@_register("promote_hits", """WITH b AS (SELECT item_id, sha256(text) AS h, row_number() OVER (ORDER BY item_id) AS rank FROM benchmark)
-SELECT 'E:' || item_id || ':' || item_id || ':' || substr(h, 1, 16) AS evidence_id, CAST(rank AS INTEGER) AS rank FROM b WHERE rank <= 40 AND rank % 5 <> 0 AND substr(h, 1, 1) < 'c'""")
+@_register("promote_hits", """WITH b AS (SELECT item_id, sha256(text) AS h FROM benchmark)
+SELECT 'E:' || item_id || ':' || item_id || ':' || substr(h, 1, 16) AS evidence_id, item_id AS rank FROM b WHERE item_id % 5 <> 0 AND substr(h, 1, 1) < 'c'""")
 def _(spark, sf_dir):
-    from pyspark.sql import Window
-
     chunks = _hashed(spark, sf_dir)
-    top = chunks.orderBy("chunk_id").limit(40).select("chunk_id", "content_hash", F.row_number().over(Window.orderBy("chunk_id")).alias("rank"))  # forty rows
-    hits = top.withColumn("content_hash", F.when(F.col("rank") % 5 == 0, "stale").otherwise(F.col("content_hash")))
+    hits = chunks.select("chunk_id", F.when(F.col("chunk_id") % 5 == 0, "stale").otherwise(F.col("content_hash")).alias("content_hash"), F.col("chunk_id").alias("rank"))
     return ledgers.promote_hits(hits, chunks, chunks.where("substring(content_hash, 1, 1) < 'c'")).select("evidence_id", "rank")
 
 
@@ -107,10 +104,16 @@ def _(spark, sf_dir):
     return ledgers.authorised(chunks, bindings, labels.where("toxic is not null"), [("issuer", "en"), ("manager", "de")]).select("doc_id")
 
 
-@_register("carry_forward", "SELECT count(*) AS n_old, count(*) AS n_new, true AS same FROM customer")
+@_register("carry_forward", "SELECT CAST(d AS VARCHAR) AS changed, count(*) AS n_old, count(*) + CASE WHEN d = 2 THEN 1 ELSE 0 END AS n_new, d = 0 AS same FROM customer, (VALUES (0), (1), (2)) v(d) GROUP BY d")
 def _(spark, sf_dir):
+    # carried as it is; with one cell changed; with one row twice
+    from functools import reduce
+
     old = _table(spark, sf_dir, "customer").withColumn("dataset_version", F.lit("v1"))
-    return ledgers.compare_versions(old.unionByName(ledgers.carry_forward(old, "v1", "v2")), "v1", "v2")
+    new = ledgers.carry_forward(old, "v1", "v2")
+    first = F.col("c_custkey") == old.agg(F.min("c_custkey")).first()[0]
+    cases = [new, new.withColumn("c_name", F.when(first, "other").otherwise(F.col("c_name"))), new.unionByName(new.where(first))]
+    return reduce(lambda a, b: a.unionByName(b), [ledgers.compare_versions(old.unionByName(x), "v1", "v2").withColumn("changed", F.lit(str(i))) for i, x in enumerate(cases)])
 
 
 @_register("known_weight_relations", "SELECT o_orderkey AS relation_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING max(CASE WHEN l_quantity < 20 THEN 1 ELSE 0 END) = 0 OR max(CASE WHEN l_quantity < 20 AND l_quantity * 5.5 > 100 THEN 1 ELSE 0 END) = 1)")

@@ -138,3 +138,28 @@ def test_ceiling_weights_and_ends(spark):
     assert sorted(r[0] for r in dataflow.known_weight_relations(rel, w).collect()) == ["a", "c"]
     ends = spark.createDataFrame([("20200101",), ("",), ("soon",), (None,), ("20990101",)], "end string")
     assert dataflow.not_ended(ends, "end", F.to_date(F.lit("2026-01-01"))).count() == 4
+
+
+def test_cycles_against_plain_search(spark):
+    """Random graphs with chains, rings and crossings, loops, null ends and repeated edges."""
+    import random
+
+    r = random.Random(4)
+    for n, m in ((5, 6), (30, 35), (40, 60), (60, 50)):
+        pairs = [(r.randrange(n), r.randrange(n)) for _ in range(m)] + [(1000 + i, 1000 + (i + 1) % 37) for i in range(37)] + [(2000 + i, 2001 + i) for i in range(20)] + [(3000, 3000), (None, 1), (2, None), (1000, 1001)]
+        after = {}
+        for a, b in pairs:
+            if a is not None and b is not None:
+                after.setdefault(a, set()).add(b)
+        want = set()
+        for a in after:
+            seen, todo = set(), list(after[a])
+            while todo:
+                x = todo.pop()
+                if x not in seen:
+                    seen.add(x)
+                    todo += after.get(x, ())
+            want |= {a} & seen
+        got = [x.node for x in dataflow.in_cycles(spark.createDataFrame(pairs, "child long, parent long")).collect()]
+        assert sorted(got) == sorted(want)
+    assert dataflow.in_cycles(spark.createDataFrame([], "child long, parent long")).count() == 0
