@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, SPACED, blocks, code_points, materialize, mix, span_hashes, text_columns, wide, words
+from .common import BYTE_VALUES, SPACED, blocks, code_points, materialize, mix, quoted, span_hashes, text_columns, wide, words
 from .exchange import GROUP_KEYS, GROUP_TEXTS, deal, runs
 
 #: A cut comes after a word whose gear hash has CUT_BITS zero bits from bit 2 on (the last four words), at least MIN_WORDS
@@ -20,6 +20,8 @@ from .exchange import GROUP_KEYS, GROUP_TEXTS, deal, runs
 CUT_BITS, MIN_WORDS, MAX_WORDS = 2, 3, 24
 #: Shorter runs of repeated chunks are no passages.
 RUN_WORDS = 24
+#: Bytes of packed chunks that one task joins, about; there are fewer than bytes of text.
+PART_BYTES = 32 << 20
 
 
 def gear(word_hashes: np.ndarray) -> np.ndarray:
@@ -61,8 +63,9 @@ def repeated_passages(documents: DataFrame, doc_id: str = "doc_id", text: str =
     none; rows without a doc_id count as one document with id null; an empty table gives an empty result.
     """
     spark = documents.sparkSession
-    parts = wide(spark)
     docs = text_columns(documents, doc_id=doc_id, text=text)
+    length = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(wide(spark), -(-length // PART_BYTES))
     schema = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("grp", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
     null_id = -(1 << 63)
 
@@ -144,41 +147,49 @@ def repeated_passages(documents: DataFrame, doc_id: str = "doc_id", text: str =
     columns = "kind string, part int, grp long, a binary, b binary, c binary, d binary"
     dealt = materialize(docs.mapInArrow(emit, columns), ("kind",))
     of = lambda kind: dealt.where(F.col("kind") == kind).select("kind", "part", "grp", "a", "b", "c", "d")
-    hits = of("key").repartition(parts, "part").mapInArrow(meet, columns)
+    hits = of("key").repartitionById(parts, F.col("part")).mapInArrow(meet, columns)
 
     def passages(batches):
-        known: dict[int, list] = {}
+        """A group's meta row comes first, then its hits: one group at a time is in memory."""
+        grp, meta, found = None, None, []
         for b in batches:
             for kind, _, g, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                known.setdefault(g, [None, []])
+                if g != grp:
+                    if meta is not None:
+                        yield group(meta, found)
+                    grp, meta, found = g, None, []
                 if kind == "meta":
-                    known[g][0] = rest
+                    meta = rest
                 else:
-                    known[g][1].append(rest[:2])
-        for meta, found in known.values():
-            same = np.frombuffer(meta[3], np.uint32)
-            owner_of = np.full(int(same.max()) + 1, 0, np.int64)
-            repeated = np.zeros(len(owner_of), bool)
-            for a, w in found:
-                at = np.frombuffer(a, np.uint32)
-                repeated[at], owner_of[at] = True, np.frombuffer(w, np.int64)
-            table = np.frombuffer(meta[0], np.int64).reshape(-1, 2)
-            chars, n_words = np.frombuffer(meta[1], np.int32).reshape(-1, 2), np.frombuffer(meta[2], np.uint8).astype(np.int64)
-            doc = np.repeat(np.arange(len(table)), table[:, 1])
-            flag, owner = repeated[same], owner_of[same]
-            edge = np.concatenate([[True], (flag[1:] != flag[:-1]) | (doc[1:] != doc[:-1])])
-            begin = np.flatnonzero(edge)
-            end = np.append(begin[1:], len(flag))
-            total = np.add.reduceat(n_words, begin)
-            pick = flag[begin] & (total >= run_words)
-            begin, end, total = begin[pick], end[pick], total[pick]
-            ids = table[doc[begin], 0]
-            foreign = np.concatenate([[0], np.cumsum(owner != table[doc, 0])])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, mask=ids == null_id), pa.array(chars[begin, 0], pa.int64()), pa.array(chars[end - 1, 1], pa.int64()), pa.array(total), pa.array(end - begin), pa.array(owner[begin], mask=owner[begin] == null_id), pa.array(foreign[end] > foreign[begin])],
-                names=["doc_id", "start", "end", "n_words", "n_chunks", "owner_id", "duplicate"])
-
-    return of("meta").unionByName(hits).repartition(parts, "grp").mapInArrow(passages, "doc_id long, start long, end long, n_words long, n_chunks long, owner_id long, duplicate boolean")
+                    found.append(rest[:2])
+        if meta is not None:
+            yield group(meta, found)
+
+    def group(meta, found):
+        same = np.frombuffer(meta[3], np.uint32)
+        owner_of = np.full(int(same.max()) + 1, 0, np.int64)
+        repeated = np.zeros(len(owner_of), bool)
+        for a, w in found:
+            at = np.frombuffer(a, np.uint32)
+            repeated[at], owner_of[at] = True, np.frombuffer(w, np.int64)
+        table = np.frombuffer(meta[0], np.int64).reshape(-1, 2)
+        chars, n_words = np.frombuffer(meta[1], np.int32).reshape(-1, 2), np.frombuffer(meta[2], np.uint8).astype(np.int64)
+        doc = np.repeat(np.arange(len(table)), table[:, 1])
+        flag, owner = repeated[same], owner_of[same]
+        edge = np.concatenate([[True], (flag[1:] != flag[:-1]) | (doc[1:] != doc[:-1])])
+        begin = np.flatnonzero(edge)
+        end = np.append(begin[1:], len(flag))
+        total = np.add.reduceat(n_words, begin)
+        pick = flag[begin] & (total >= run_words)
+        begin, end, total = begin[pick], end[pick], total[pick]
+        ids = table[doc[begin], 0]
+        foreign = np.concatenate([[0], np.cumsum(owner != table[doc, 0])])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids, mask=ids == null_id), pa.array(chars[begin, 0], pa.int64()), pa.array(chars[end - 1, 1], pa.int64()), pa.array(total), pa.array(end - begin), pa.array(owner[begin], mask=owner[begin] == null_id), pa.array(foreign[end] > foreign[begin])],
+            names=["doc_id", "start", "end", "n_words", "n_chunks", "owner_id", "duplicate"])
+
+    placed = of("meta").unionByName(hits).repartition(parts, "grp").sortWithinPartitions("grp", F.desc("kind"))
+    return placed.mapInArrow(passages, "doc_id long, start long, end long, n_words long, n_chunks long, owner_id long, duplicate boolean")
 
 
 _R = 0x9FB21C651E98DF25
@@ -192,7 +203,9 @@ def _odd_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
-    """doc_id and text without the passages that another document owns; ids must be unique."""
+    """doc_id and text without the passages that another document owns; refuses ids that several rows have, as spans are told by id."""
+    if not documents.groupBy(quoted(doc_id)).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        raise ValueError("doc_id must be unique")
     spans = repeated_passages(documents, doc_id, text, run_words).where("duplicate").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     docs = text_columns(documents, doc_id=doc_id, text=text)
     joined = docs.join(spans, "doc_id", "left")

@@ -4,7 +4,7 @@ Layout of a store (a folder that any Spark reader can open):
 
 * chunks/    Parquet: digest (16 bytes, blake2b of the payload), n (ids), payload (little-endian ids, 2 or 4 bytes each)
 * recipes/   Parquet, one shard a file, shards and rows in ascending doc_id order: shard, row, doc_id, n_tokens, digests, root
-* manifest/  one row a shard: shard, n_docs, n_tokens, first_doc, start, root; the store's root is the Merkle root over them
+* manifest/  one row a shard: shard, n_docs, n_tokens, first_doc, start, root, store_root (the Merkle root over the shards' roots)
 
 A document's root is the Merkle root over its chunks' digests, a shard's root that over its documents' roots.
 """
@@ -12,9 +12,11 @@ A document's root is the Merkle root over its chunks' digests, a shard's root th
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import zlib
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +45,31 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _word_by_word(file: dict) -> bool:
+    """Whether a tokenizer's file says that a text's ids are its words' ids, joined.
+
+    White space becomes one space and letters lower case before a pattern cuts what is neither; the pattern's matches hold
+    no white space and the rest is removed; bytes are looked up without a prefix space; nothing is added behind.
+    """
+    steps = (file.get("normalizer") or {}).get("normalizers", [])
+    kinds = [(x["type"], x.get("pattern", {}).get("Regex"), x.get("content")) for x in steps]
+    cuts = (file.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if kinds != [("NFC", None, None), ("Replace", r"\s+", " "), ("Lowercase", None, None)] or [x["type"] for x in cuts] != ["Split", "ByteLevel"] or file.get("post_processor"):
+        return False
+    split, letters = cuts
+    return (split["behavior"], split["invert"], split["pattern"]) == ("Removed", True, {"Regex": _PATTERN}) and not letters["add_prefix_space"] and not letters["use_regex"] and file["model"]["type"] == "BPE" and not file["model"].get("dropout")
+
+
+#: Fixed value: the pattern of the word tokenizer's file; none of its branches takes white space.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class WordEncoder:
-    """Ids of whole texts by a tokenizer whose pre-tokenizer never crosses ASCII white space and drops it.
+    """Ids of whole texts.
 
-    Such an encoding of a text is the joined encodings of its words, so words that a worker has seen are not encoded
-    again.  Texts with the start of a special token go to the tokenizer as they are.
+    Where the tokenizer's file says that a text's ids are its words' ids joined (_word_by_word), words that a worker has
+    seen are not encoded again; texts with the start of a special token, and all texts of other tokenizers, go to the
+    tokenizer as they are.
     """
 
     def __init__(self, path: str, width: int = 4) -> None:
@@ -55,6 +77,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.word_by_word = _word_by_word(json.load(f))
         self.width = np.dtype(f"<u{width}")
         self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[bytes, bytes] = {}
@@ -76,9 +100,11 @@ class WordEncoder:
         return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.word_by_word:
+            return [self.pack(e.ids) for e in self.tokenizer.encode_batch([x or "" for x in texts], add_special_tokens=False)]
         cache = self.cache
         split = [(x or "").encode().lower().split() for x in texts]  # ASCII only; the tokenizer lower-cases as well
-        unseen = {w for ws in split for w in ws if w not in cache}
+        unseen = set().union(*split).difference(cache)
         once: dict[bytes, bytes] = {}
         if unseen:
             if len(cache) + len(unseen) > CACHE_WORDS:
@@ -96,11 +122,8 @@ class WordEncoder:
                 part = todo[i : i + 4096]
                 for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
                     (cache if len(w) <= CACHE_WORD_BYTES else once)[w] = self.pack(e.ids)
-        if once:
-            get = lambda w: cache.get(w) if w in cache else once[w]
-        else:
-            get = cache.__getitem__
-        out = [b"".join(map(get, ws)) for ws in split]
+        known = {**once, **{w: cache[w] for ws in split for w in ws if w in cache}} if once else cache
+        out = [b"".join(itemgetter(*ws)(known)) if len(ws) > 1 else known[ws[0]] if ws else b"" for ws in split]
         for i, x in enumerate(texts):
             if x and "<|" in x and any(s in x.encode() for s in self.specials):
                 out[i] = self.whole(x)
@@ -209,12 +232,13 @@ def write(documents: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id
     stored = spark.read.parquet(f"{path}/recipes")
     shard_roots = stored.groupBy("shard").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.min("doc_id").alias("first_doc"))
     totals = sorted(shard_roots.collect(), key=lambda r: r.shard)  # as many rows as shards
+    roots = {r.shard: bytes(r.root) for r in _shard_roots(stored).collect()}
+    top = merkle([roots[r.shard] for r in totals])
     start, rows = 0, []
     for r in totals:
-        rows.append((r.shard, r.n_docs, r.n_tokens, r.first_doc, start))
+        rows.append((r.shard, r.n_docs, r.n_tokens, r.first_doc, start, roots[r.shard], top))
         start += r.n_tokens
-    manifest = spark.createDataFrame(rows, "shard int, n_docs long, n_tokens long, first_doc long, start long")
-    manifest.join(_shard_roots(stored), "shard").coalesce(1).write.parquet(f"{path}/manifest")
+    spark.createDataFrame(rows, "shard int, n_docs long, n_tokens long, first_doc long, start long, root binary, store_root binary").coalesce(1).write.parquet(f"{path}/manifest")
 
 
 def _shard_roots(stored: DataFrame) -> DataFrame:
@@ -267,9 +291,19 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Reads a store back: doc_id, start, n_tokens, ids_crc32 (over the ids as 32-bit little-endian), n_chunks, verified.
 
     Every stored chunk is read, its digest recomputed from its bytes; verified says that all chunks of the document were
-    there, as long as the recipe says, and that the Merkle root over the recomputed digests is the stored one.  Chunks
-    yield their crc32, which joins into that of the document, so no ids cross the network.
+    there, as long as the recipe says, that the Merkle root over the recomputed digests is the stored one, and that the
+    recipes of its shard are those of the manifest: their number, tokens and Merkle root.  A store whose manifest does not
+    add up to its own root, or that lacks a shard, is refused.  Chunks yield their crc32, which joins into that of the
+    document, so no ids cross the network.
     """
+    manifest = spark.read.parquet(f"{path}/manifest")
+    recipes = spark.read.parquet(f"{path}/recipes")
+    told = sorted(manifest.collect(), key=lambda r: r.shard)  # as many rows as shards
+    found = {r.shard: (r.n_docs, r.n_tokens) for r in recipes.groupBy("shard").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).collect()}
+    roots = {r.shard: bytes(r.root) for r in _shard_roots(recipes).collect()}
+    if any(bytes(r.store_root) != merkle([bytes(x.root) for x in told]) for r in told) or set(found) != {r.shard for r in told}:
+        raise ValueError(f"the manifest of {path} does not fit its shards")
+    whole = [(r.shard, r.start, found[r.shard] == (r.n_docs, r.n_tokens) and roots[r.shard] == bytes(r.root)) for r in told]
 
     def inspect(batches):
         for b in batches:
@@ -280,8 +314,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.binary(), pa.int32(), pa.int64()))], names=["digest", "n", "crc"])
 
     chunks = spark.read.parquet(f"{path}/chunks").mapInArrow(inspect, "digest binary, n int, crc long")
-    recipes = spark.read.parquet(f"{path}/recipes")
-    manifest = spark.read.parquet(f"{path}/manifest").select("shard", F.col("start").alias("shard_start"))
+    shards = spark.createDataFrame(whole, "shard int, shard_start long, shard_whole boolean")
     placed = recipes.withColumn("before", F.sum("n_tokens").over(W.partitionBy("shard").orderBy("row").rowsBetween(W.unboundedPreceding, -1)))
     pieces = recipes.select("shard", "row", _pieces())
     joined = pieces.join(chunks, "digest", "left").groupBy("shard", "row").agg(F.sort_array(F.collect_list(F.struct("pos", "n", "crc", "digest"))).alias("parts"))
@@ -295,10 +328,10 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 parts = r["parts"] or []
                 whole = all(p["n"] is not None and p["n"] > 0 for p in parts)
                 out.append((r["doc_id"], r["start"], r["n_tokens"], crc32_join([(p["crc"], 4 * p["n"]) for p in parts], known) if whole else None, len(parts),
-                            whole and sum(p["n"] for p in parts) == r["n_tokens"] and merkle([p["digest"] for p in parts]) == r["root"]))
+                            whole and r["shard_whole"] and sum(p["n"] for p in parts) == r["n_tokens"] and merkle([p["digest"] for p in parts]) == r["root"]))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["doc_id", "start", "n_tokens", "ids_crc32", "n_chunks", "verified"])
 
-    whole = placed.join(manifest, "shard").join(joined, ["shard", "row"], "left").select("doc_id", (F.col("shard_start") + F.coalesce("before", F.lit(0))).alias("start"), "n_tokens", "root", "parts")
+    whole = placed.join(shards, "shard").join(joined, ["shard", "row"], "left").select("doc_id", (F.col("shard_start") + F.coalesce("before", F.lit(0))).alias("start"), "n_tokens", "root", "shard_whole", "parts")
     return whole.mapInArrow(combine, "doc_id long, start long, n_tokens long, ids_crc32 long, n_chunks long, verified boolean")
 
 

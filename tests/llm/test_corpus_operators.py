@@ -111,6 +111,21 @@ def test_store_notices_damage_and_empty_tables(spark):
     for part in ("recipes", "manifest"):
         spark.read.parquet(f"{path}/{part}").write.parquet(f"{path}/damaged/{part}")
     assert sorted(r.verified for r in tokenstore.read_documents(spark, f"{path}/damaged").collect()) == [False, True]
+    # a recipe that is lost shows in its shard, a shard that is lost is refused
+    whole = f"{path}/whole"
+    tokenstore.write(docs_of(spark, [f"text {i}" for i in range(40)]), whole, tokenizer_path("word_bpe_49k.json"))
+    recipes = spark.read.parquet(f"{whole}/recipes")
+    first = recipes.agg({"shard": "min"}).first()[0]
+    for name, kept, lost in (("row", "doc_id != 0", 1), ("shard", f"shard != {first}", None)):
+        for part in ("chunks", "manifest"):
+            spark.read.parquet(f"{whole}/{part}").write.parquet(f"{path}/{name}/{part}")
+        recipes.where(kept).write.parquet(f"{path}/{name}/recipes")
+        if lost is None:
+            with pytest.raises(ValueError, match="does not fit"):
+                tokenstore.read_documents(spark, f"{path}/{name}")
+        else:
+            got = tokenstore.read_documents(spark, f"{path}/{name}").collect()
+            assert len(got) == 39 and {r.verified for r in got if r.doc_id < 5} == {False} and (recipes.select("shard").distinct().count() == 1 or any(r.verified for r in got))
     empty = scratch(spark)
     tokenstore.write(docs_of(spark, []), empty, tokenizer_path("word_bpe_49k.json"))
     assert tokenstore.read_documents(spark, empty).count() == 0
@@ -385,6 +400,53 @@ def test_repeated_passages(spark):
     assert substrings.repeated_passages(docs_of(spark, [])).count() == 0
 
 
+def plain_passages(docs):
+    """Cuts, owners and runs by their definitions, word by word."""
+    texts = []
+    for who, t in docs:
+        t = t or ""
+        found = list(re.finditer(r"[^\x20\x09-\x0D]+", t))
+        spelt = [m.group().encode() for m in found]
+        data = np.frombuffer(b"".join(spelt), np.uint8)
+        ends = np.cumsum([len(x) for x in spelt], dtype=np.int64)
+        h = [int(x) for x in span_hashes(data, ends - [len(x) for x in spelt], ends)] if spelt else []
+        cuts, last = [0], 0
+        for i in range(1, len(h) + 1):
+            gear = sum(h[i - 1 - j] << j for j in range(8) if i - 1 - j >= 0)
+            mark = (gear >> 2) % (1 << substrings.CUT_BITS) == 0
+            if (mark and i - last >= substrings.MIN_WORDS) or i - last == substrings.MAX_WORDS or i == len(h):
+                cuts.append(i)
+                last = i
+        texts.append((who, found, [tuple(spelt[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], cuts))
+    holders = collections.defaultdict(set)
+    for who, _, chunks, _ in texts:
+        for c in chunks:
+            holders[c].add(who)
+    out = []
+    for who, found, chunks, cuts in texts:
+        i = 0
+        while i < len(chunks):
+            j = i
+            while j < len(chunks) and len(holders[chunks[j]]) > 1:
+                j += 1
+            if j > i and cuts[j] - cuts[i] >= substrings.RUN_WORDS:
+                out.append((who, found[cuts[i]].start(), found[cuts[j] - 1].end(), cuts[j] - cuts[i], j - i, min(holders[chunks[i]]), any(min(holders[c]) != who for c in chunks[i:j])))
+            i = max(j, i + 1)
+    return out
+
+
+def test_passages_against_a_plain_version(spark, sf_dir):
+    docs = [(r.doc_id, r.text) for r in table(spark, sf_dir, "documents").limit(120).collect()]
+    r = random.Random(9)
+    shared = " ".join("w" + r.choice("abcdefgh") + r.choice("xyz") for _ in range(400))
+    docs += [(10_000 + i, "é " * i + shared[: 2000 - 30 * i] + "\n" + "z " * (i * 7)) for i in range(20)] + [(10_100, None), (10_101, ""), (10_003, "w " * 30), (10_102, shared * 30)]
+    got = substrings.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    key = lambda x: tuple(map(str, x))
+    assert sorted((tuple(x) for x in got.collect()), key=key) == sorted(plain_passages(docs), key=key)
+    with pytest.raises(ValueError, match="unique"):
+        substrings.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"))
+
+
 # 8 personal data
 
 PLAIN = [("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")), ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")), ("card", re.compile(r"[0-9]([\x20-]?[0-9])+")), ("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"))]
@@ -538,6 +600,19 @@ def test_unigram_pieces(with_bytes, tmp_path):
             assert own.encode(t) == lib.encode(t), t
 
 
+def test_other_tokenizers_encode_whole_texts():
+    """Only a file that says that words stand alone is read word by word; ids are the library's for any."""
+    from tokenizers import Tokenizer
+
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = tokenizer_path(name)
+        encoder = tokenstore.WordEncoder(path, 4)
+        assert encoder.word_by_word == name.startswith("word")
+        texts = ["Two  words", None, "", "it's Ünder\u00a0way 12", "<|endoftext|> x", "one", "a " * 50]
+        lib = Tokenizer.from_file(path)
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [lib.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
 def test_pieces_queries(spark):
     path = tokenizer_path("piece_bpe_32k.model")
     df = docs_of(spark, ["the  thing", *EMPTY_TEXTS])
