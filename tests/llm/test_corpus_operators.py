@@ -174,6 +174,21 @@ def test_quality(spark, sf_dir, corpus):
     assert quality.score_quality(docs_of(spark, ["x"]), nothing).count() == 1
 
 
+def test_quality_verdicts(spark):
+    """Probabilities by their definition, and rows that the model was not fitted on."""
+    documents, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    model = quality.fit(documents.where("doc_id % 2 = 0"), labels)
+    other = documents.where("doc_id % 2 = 1")
+    got = rows(quality.score_quality(other, model))
+    told = [(got[r.doc_id].probability >= quality.KEEP) == bool(r.quality) for r in labels.collect() if r.doc_id in got]
+    assert len(told) > 100 and np.mean(told) > 0.9
+    for r in other.limit(60).collect():
+        data, at = flat(pa.array([r.text], pa.string()))
+        logit = float(quality.features(data, at)[0].astype(np.float64) @ model.weights) + model.bias
+        p = 1 / (1 + np.exp(-(model.slope * logit + model.shift)))
+        assert abs(got[r.doc_id].probability - p) < 1e-4 and got[r.doc_id].kept == (not got[r.doc_id].base_failed and got[r.doc_id].probability >= quality.KEEP)
+
+
 # 3 decontamination
 
 
@@ -322,6 +337,20 @@ def test_language(spark, sf_dir):
     assert [odd[i].lang_pred for i in (0, 1, 2, 3, 7)] == ["und"] * 5 and not odd[0].accepted and odd[4].lang_pred in model.languages
     assert all(0 <= r.score <= 1 for r in [*got, *odd.values()])
     assert langid.identify(docs_of(spark, []), model).count() == 0
+    # the smallest encoding wins, encoded here by the library without the module's compressors
+    import zstandard
+
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    for r in got[:80]:
+        if r.lang_pred == "und":
+            continue
+        data = langid.letters(texts[r.doc_id])
+        sizes = []
+        for sample in model.samples:
+            c = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=zstandard.ZstdCompressionDict(sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes.append(sum(len(c.compress(data[i : i + 4096])) for i in range(0, len(data), 4096)))
+        least, next_ = sorted(sizes)[:2]
+        assert r.lang_pred == model.languages[sizes.index(least)] and abs(r.score - 1 / (1 + np.exp(-40 * (next_ - least) / next_))) < 1e-12
     assert langid.identify(docs_of(spark, ["the"]), langid.fit(docs_of(spark, []))).first().lang_pred == "und"
 
 
