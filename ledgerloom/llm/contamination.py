@@ -8,14 +8,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ALNUM, BYTE_VALUES, LOWER, blocks, discard, materialize, span_hashes, text_columns, window_hashes, words
+from .common import ALNUM, BYTE_VALUES, LOWER, blocks, discard, materialize, quoted, span_hashes, text_columns, window_hashes, words
 
 WINDOW = 13
 #: Above this many windows the set is dealt over several passes instead of one broadcast (40 bytes a window).
 BROADCAST_WINDOWS = 2_000_000
 
-_FOUND = [("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.int64())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("row", pa.string())]
 _VALUES = BYTE_VALUES[LOWER]
 
 
@@ -88,41 +88,38 @@ class WindowSet:
         return starts, ends, doc, found
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: bool = False) -> DataFrame:
     """Words of each document inside windows of benchmark texts.
 
     Words are runs of ASCII letters (A-Z lower-cased), digits and non-ASCII characters; a window is `window` words in
     a row of one item, or all words of a shorter one.  hit_spans are character spans [start, end) of runs of hit words.
-    Null or empty texts have no words and no hits; repeated rows, ties and items with equal texts all count, items without an id in n_hit alone; an empty
-    benchmark hits nothing.  The benchmark's windows are broadcast in parts of BROADCAST_WINDOWS at most; each part is
-    a further pass over the documents, and the parts' hits are united.
+    With `keep` also `kept`, the whole row as a struct, so that no column of it can clash with these.  Null or empty texts
+    have no words and no hits; repeated rows, ties and items with equal texts all count, items without an id in n_hit
+    alone; an empty benchmark hits nothing.  The benchmark's windows are broadcast in parts of BROADCAST_WINDOWS at most;
+    each part is a further pass over the rows, which carry their hits from pass to pass without a shuffle.
     """
-    docs = text_columns(documents, doc_id=doc_id, text=text)
+    whole = [F.struct(*[quoted(c) for c in documents.columns]).alias("kept")] if keep else []
+    rows = documents.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"), *whole)
     windows = materialize(item_windows(text_columns(benchmark, item_id=item_id, text=item_text), window))
     parts = max(1, -(-windows.count() // BROADCAST_WINDOWS))
-    part = lambda i: WindowSet(windows.where(F.pmod(F.xxhash64("hash"), F.lit(parts)) == i).toArrow())
-    scans = [_scan(docs, part(i), parts > 1) for i in range(parts)]  # the driver holds one part at a time
+    for i in range(parts):  # the driver holds one part at a time
+        part = WindowSet(windows.where(F.pmod(F.xxhash64("hash"), F.lit(parts)) == i).toArrow())
+        rows = _scan(rows, part, i == 0, i == parts - 1)
     discard(windows)
-    if len(scans) > 1:
-        united = scans[0]
-        for other in scans[1:]:
-            united = united.unionByName(other)
-        merged = united.groupBy("doc_id", "row").agg(
-            F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"),
-            F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.count("*").alias("times"))
-        merged = merged.withColumn("_", F.explode(F.expr(f"array_repeat(0, cast(times / {len(scans)} as int))")))  # rows that repeat stay
-    else:
-        merged = scans[0]
     n_hit = F.size("hits").cast("long")
     as_text = F.array_sort(F.transform("items", lambda x: x.cast("string")))
-    return merged.select(
+    return rows.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(as_text, ","), 256).alias("items_sha256"),
-        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), F.col("spans").alias("hit_spans"))
+        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), F.col("spans").alias("hit_spans"), *(["kept"] if keep else []))
 
 
-def _scan(docs: DataFrame, windows: WindowSet, several: bool) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(windows)
-    names = ["doc_id", *(n for n, _ in _FOUND)]
+def _scan(rows: DataFrame, windows: WindowSet, first: bool, last: bool) -> DataFrame:
+    """One pass: hits (places of hit words) and items of the rows, added to those of the passes before; the last pass gives
+    the number of words and the spans, the others the text for the next."""
+    shared = rows.sparkSession.sparkContext.broadcast(windows)
+    extra = [f for f in rows.schema.fields if f.name == "kept"]
+    word, place = T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))
+    schema = T.StructType([rows.schema["doc_id"], *([word, place] if last else [rows.schema["text"]]), *extra, T.StructField("hits", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.LongType()))])
 
     def scan(batches):
         windows = shared.value
@@ -133,9 +130,8 @@ def _scan(docs: DataFrame, windows: WindowSet, several: bool) -> DataFrame:
                 n = part.num_rows
                 counts = np.bincount(doc, minlength=n)
                 base = np.concatenate([[0], np.cumsum(counts)])
-                hits: list[list[int]] = [[] for _ in range(n)]
-                items: list[list[int]] = [[] for _ in range(n)]
-                spans: list[list[dict]] = [[] for _ in range(n)]
+                hits: list[list[int]] = [[] for _ in range(n)] if first else part.column("hits").to_pylist()
+                items: list[list[int]] = [[] for _ in range(n)] if first else part.column("items").to_pylist()
                 by_doc: dict[int, list] = {}
                 for hit in found:
                     by_doc.setdefault(int(doc[hit[0]]), []).append(hit)
@@ -146,14 +142,18 @@ def _scan(docs: DataFrame, windows: WindowSet, several: bool) -> DataFrame:
                         mark[i - base[d] + size] -= 1
                         items[d] += who
                     covered = np.cumsum(mark[:-1]) > 0
+                    covered[hits[d]] = True
                     hits[d] = np.flatnonzero(covered).tolist()
                     items[d] = sorted(set(items[d]) - {_NO_ITEM})
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], covered.view(np.int8), [0]])))
+                spans: list[list[dict]] = [[] for _ in range(n)]
+                for d in [d for d in range(n) if hits[d]] if last else []:
+                    own = np.array(hits[d])
+                    new = np.flatnonzero(np.diff(own) > 1)
                     chars = np.cumsum((data[at[d] : at[d + 1]] & 0xC0) != 0x80)
-                    for a, b in edge.reshape(-1, 2):
-                        s, e = starts[base[d] + a] - at[d], ends[base[d] + b - 1] - at[d]
+                    for a, b in zip(own[np.append(0, new + 1)].tolist(), own[np.append(new, len(own) - 1)].tolist(), strict=True):
+                        s, e = starts[base[d] + a] - at[d], ends[base[d] + b] - at[d]
                         spans[d].append({"start": int(chars[s]) - 1, "end": int(chars[e - 1])})
-                digest = [hashlib.md5(data[at[i] : at[i + 1]]).hexdigest() for i in range(n)] if several else [None] * n
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(hits, _FOUND[1][1]), pa.array(items, _FOUND[2][1]), pa.array(spans, _FOUND[3][1]), pa.array(digest, pa.string())], names=names)
+                told = [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))] if last else [part.column("text")]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *told, *([part.column("kept")] if extra else []), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))], names=schema.names)
 
-    return docs.mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, hits array<int>, items array<long>, spans array<struct<start:long,end:long>>, row string")
+    return rows.mapInArrow(scan, schema)
