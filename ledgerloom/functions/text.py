@@ -141,3 +141,25 @@ def lei_valid(c: Column) -> Column:
     """Twenty characters whose number, letters as 10 to 35, leaves 1 modulo 97."""
     rest = F.aggregate(F.transform(F.split(_digits(c), ""), lambda x: x.cast("int")), F.lit(0), lambda a, b: (a * 10 + F.coalesce(b, F.lit(0))) % 97)
     return F.coalesce(c.rlike(r"^[A-Z0-9]{18}[0-9]{2}$") & (rest == 1), F.lit(False))
+
+
+def normalize_with_origins(text: str) -> tuple[str, list[tuple[int, int]]]:
+    """A question's text under NFKC sign by sign, runs of white space as one space; and where each sign stood."""
+    signs: list[str] = []
+    origins: list[tuple[int, int]] = []
+    for i, c in enumerate(text):
+        for n in unicodedata.normalize("NFKC", c):
+            if not n.isspace():
+                signs.append(n)
+                origins.append((i, i + 1))
+            elif signs and signs[-1] == " " and origins[-1][1] >= i:
+                origins[-1] = (origins[-1][0], i + 1)
+            else:
+                signs.append(" ")
+                origins.append((i, i + 1))
+    return "".join(signs), origins
+
+
+def applicable_date(*candidates: Column) -> Column:
+    """The first of a column group's days that is there and a day: yyyyMMdd text, the markers of no day left out."""
+    return F.coalesce(*[F.when(~F.trim(c).isin("", "00000000", "99991231") & F.trim(c).rlike(r"^\d{8}$"), F.call_function("try_to_date", F.trim(c), F.lit("yyyyMMdd"))) for c in candidates])

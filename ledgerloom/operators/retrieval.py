@@ -145,3 +145,51 @@ def quality_at_k(hits: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     found = hits.where(F.col("rank") <= k).join(gold, ["case_id", "chunk_id"]).select("mode", "case_id", "chunk_id").distinct().groupBy("mode").agg(F.count("*").alias("found"))
     total = gold.agg(F.count("*").alias("n_gold"))
     return hits.select("mode").distinct().join(found, "mode", "left").crossJoin(F.broadcast(total)).select("mode", "n_gold", F.coalesce("found", F.lit(0)).alias("found"), (F.coalesce("found", F.lit(0)) / F.col("n_gold")).alias("recall"))
+
+
+#: What a question about a topic looks for: section types, and the words of its query.
+TOPICS: dict[str, tuple[tuple[str, ...], str]] = {
+    "investment_strategy": (("investment_objective", "investment_strategy"), "투자 목적 주요 투자대상 투자 전략"),
+    "risk_factor": (("risk_factor",), "주요 투자위험 위험 요인"),
+    "official_update": (("official_update", "change_history"), "공식 변경 공시 변경 이력"),
+    "product_structure": (("legal_structure",), "상품 구조 법적 구조"),
+    "supporting_document": (("investment_objective", "investment_strategy", "risk_factor"), "공식 문서 근거"),
+}
+
+
+def explain(chunks: DataFrame, topic: str, k: int = 5, ties: tuple[str, ...] = ("doc_id", "chunk_id")) -> DataFrame:
+    """The k chunks of a topic's sections most like its words; topics that are not listed are refused."""
+    if topic not in TOPICS:
+        raise Refused("TOPIC_UNKNOWN", topic)
+    sections, words = TOPICS[topic]
+    return keyword_topk(chunks.where(F.col("section_type").isin(*sections)), words, k, ties=ties)
+
+
+def embed_missing(chunks: DataFrame, embeddings: DataFrame, embed, dimension: int) -> DataFrame:
+    """embeddings with those of the chunks that have none of their present text; texts are embedded batch by batch.
+
+    chunks: chunk_id, text, content_hash; embeddings: chunk_id, content_hash, embedding.  embed takes a list of texts and
+    gives as many vectors; one of another size fails.  What is there is neither embedded again nor changed.
+    """
+    todo = chunks.join(embeddings.select("chunk_id", "content_hash"), ["chunk_id", "content_hash"], "left_anti").select("chunk_id", "content_hash", "text")
+
+    def run(batches):
+        for b in batches:
+            vectors = embed(b.column(2).to_pylist())
+            if len(vectors) != b.num_rows or any(len(v) != dimension for v in vectors):
+                raise ValueError("EMBEDDING_DIMENSION_MISMATCH")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(map(float, v)) for v in vectors], pa.list_(pa.float32()))], names=["chunk_id", "content_hash", "embedding"])
+
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    made = todo.mapInArrow(run, f"chunk_id {kind}, content_hash string, embedding array<float>")
+    return embeddings.select("chunk_id", "content_hash", F.col("embedding").cast("array<float>").alias("embedding")).unionByName(made)
+
+
+def check_same_metadata(lists: dict[str, DataFrame], identity: tuple[str, ...], columns: tuple[str, ...]) -> None:
+    """Refuses lists of hits that say different things of the same hit: fusing them would mix versions."""
+    united = None
+    for hits in lists.values():
+        part = hits.select(*identity, *columns)
+        united = part if united is None else united.unionByName(part)
+    if not united.groupBy(*identity).agg(F.count_distinct(F.struct(*columns)).alias("n")).where("n > 1").isEmpty():
+        raise Refused("HIT_METADATA_DRIFT")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import pytest
 from conftest import same_rows
 
-import ledgerloom.plan_queries  # noqa: F401  (these add their queries)
+import ledgerloom.integrity_queries  # noqa: F401  (these add their queries)
+import ledgerloom.plan_queries  # noqa: F401
 import ledgerloom.release_queries  # noqa: F401
 from ledgerloom.catalog_queries import ORACLE_SQL, QUERIES
 
