@@ -1,16 +1,19 @@
 """SentencePiece encoding and decoding: an Aho-Corasick automaton over the pieces drives a single-pass Viterbi.
 
-At each position the automaton's output links give every piece that ends there; the best score at the piece's start is
-relaxed to its end.  For unigram models a path's score is the sum of its pieces' scores.  For BPE models such a sum would
+At each position the automaton's output links give every piece that ends there, the longest first; the best score at the
+piece's start is relaxed to its end.  For unigram models a path's score is the sum of its pieces' scores.  For BPE models such a sum would
 choose other pieces than the model's merges do, so there a step scores zero if merging would leave the two pieces side
 by side and minus infinity otherwise: exactly one path then has a finite score, the model's own encoding.
+
+The pass runs over many words (units that no piece crosses) at once, sign by sign in numpy: the automaton's states, the
+links and the pieces chosen so far are arrays, one place a word.
 """
 
 from __future__ import annotations
 
 import re
-import sys
 import zlib
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -18,16 +21,75 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Encoded units kept by each worker (some 150 MB), the longest that is kept, and pairs of pieces kept.
-CACHE_UNITS, CACHE_UNIT_CHARS, CACHE_PAIRS = 200_000, 48, 500_000
+#: Encoded units kept by each worker in two halves, the older of which is dropped; the longest that is kept or encoded
+#: beside others; pairs of pieces kept.
+CACHE_UNITS, UNIT_CHARS, CACHE_PAIRS = 200_000, 64, 500_000
+#: Places of the tables of steps of the automaton and of pairs of pieces: a place holds the key seen there last.
+SLOTS = 1 << 20
 SPACE = "▁"
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-
-
-def _after_letters() -> re.Pattern:
-    """Between a letter and what is none, by str.isalpha: \\w also takes numerals such as superscripts and fractions."""
-    numerals = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-    return re.compile(rf"(?<=[^\W\d_{re.escape(numerals)}])(?=[\W\d_{re.escape(numerals)}])")
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _slots(keys: np.ndarray) -> np.ndarray:
+    return ((keys.view(np.uint64) * _MIX) >> np.uint64(44)).astype(np.int64)
+
+
+class Steps:
+    """The Aho-Corasick automaton as arrays: for each state its depth, failure state, piece and next state with a piece."""
+
+    def __init__(self, pieces: dict[str, int]) -> None:
+        signs = sorted(set("".join(pieces)))
+        self.code = np.zeros(0x110000, np.int64)
+        self.code[[ord(c) for c in signs]] = np.arange(1, len(signs) + 1)
+        self.width = len(signs) + 1
+        number = {c: i + 1 for i, c in enumerate(signs)}
+        edges: dict[int, int] = {}
+        depth, own, before = [0], [-1], [(0, 0)]
+        for p in sorted(pieces, key=len):  # so that states come in the order of their depth but for their siblings
+            at = 0
+            for c in p:
+                key = at * self.width + number[c]
+                if key not in edges:
+                    edges[key] = len(depth)
+                    depth.append(depth[at] + 1)
+                    own.append(-1)
+                    before.append((at, number[c]))
+                at = edges[key]
+            own[at] = pieces[p]
+        n = len(depth)
+        fail, first = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+        for at in sorted(range(1, n), key=depth.__getitem__):
+            parent, c = before[at]
+            up = int(fail[parent])
+            while parent and up and up * self.width + c not in edges:
+                up = int(fail[up])
+            fail[at] = edges.get(up * self.width + c, 0) if parent else 0
+            first[at] = at if own[at] >= 0 else first[fail[at]]
+        keys = np.array(sorted(edges), np.int64)
+        self.keys, self.ends = keys, np.array([edges[k] for k in keys.tolist()], np.int64)
+        self.depth, self.own, self.fail, self.first = np.array(depth, np.int64), np.array(own, np.int64), fail, first
+        #: The next state with a piece on the way of failure links.
+        self.link = np.where(np.arange(n) > 0, first[fail], -1)
+        self.seen, self.told = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, np.int64)
+
+    def step(self, states: np.ndarray, signs: np.ndarray) -> np.ndarray:
+        keys = states * self.width + signs
+        slots = _slots(keys)
+        out = self.told[slots]
+        todo = np.flatnonzero(self.seen[slots] != keys)
+        if len(todo):
+            at, new, left = states[todo], np.zeros(len(todo), np.int64), np.arange(len(todo))
+            while len(left):
+                k = at[left] * self.width + signs[todo[left]]
+                place = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
+                there = self.keys[place] == k
+                new[left[there]] = self.ends[place[there]]
+                left = left[~there & (at[left] > 0)]
+                at[left] = self.fail[at[left]]
+            out[todo] = new
+            self.seen[slots[todo]], self.told[slots[todo]] = keys[todo], new
+        return out
 
 
 class PieceModel:
@@ -53,10 +115,6 @@ class PieceModel:
         self.ids = {p: i for i, p in enumerate(self.pieces) if self.types[i] in (1, 4)}
         #: Units never share a piece: pieces hold the space mark only in front, or nothing else, and no line end.
         self.splits = not any("\n" in p or SPACE in p.lstrip(SPACE) for p in self.ids)
-        joined = {(x, y) for p in self.ids for x, y in zip(p, p[1:], strict=False)}
-        #: Nor do a letter and what follows it, if that is no letter.
-        self.splits_letters = not any(x.isalpha() and not y.isalpha() for x, y in joined)
-        self.after_letters = _after_letters() if self.splits_letters else None
         self.chars = {p for p in self.ids if len(p) == 1}
         if self.bpe and not self.chars.issuperset("".join(self.ids)):
             raise ValueError("a merge model whose pieces hold characters that are no pieces is not read")
@@ -64,12 +122,15 @@ class PieceModel:
         #: Score of a character that is no piece.
         self.least = min((self.scores[i] for i in self.ids.values() if self.types[i] == 1), default=0.0) - 10
         self.fits: dict[int, bool] = {}
+        self.pair_seen, self.pair_told = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, bool)
+        reached = {p: i for p, i in self.ids.items() if not self.bpe or self.merged(p) == [p]}
         self.automaton = ahocorasick.Automaton()
-        for p, i in self.ids.items():
-            if not self.bpe or self.merged(p) == [p]:
-                self.automaton.add_word(p, (i, len(p)))
+        for p, i in reached.items():
+            self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
+        self.steps = Steps(reached) if self.bpe and reached else None
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """The model's merges, one by one: of neighbours whose join is a piece the best scored, the leftmost among equals."""
@@ -95,6 +156,60 @@ class PieceModel:
             out = self.fits[key] = self.merged(x + y) == [x, y]
         return out
 
+    def _fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """side_by_side of many pairs; those that are not in their place of the table are asked for one by one."""
+        keys = a << 32 | b
+        slots = _slots(keys)
+        out = self.pair_told[slots]
+        todo = np.flatnonzero(self.pair_seen[slots] != keys)
+        if len(todo):
+            asked, back = np.unique(keys[todo], return_inverse=True)
+            told = np.array([self.side_by_side(k >> 32, k & 0xFFFFFFFF) for k in asked.tolist()], bool)
+            out[todo] = told[back]
+            self.pair_seen[slots[todo]], self.pair_told[slots[todo]] = keys[todo], out[todo]
+        return out
+
+    def _together(self, units: list[str]) -> list[bytes]:
+        """The merges' paths of units whose characters all are pieces, sign by sign over all units at once."""
+        steps = self.steps
+        length = np.fromiter(map(len, units), np.int64, len(units))
+        begin = np.cumsum(length) - length
+        signs = steps.code[np.frombuffer("".join(units).encode("utf-32-le"), "<u4")]
+        order = np.argsort(-length, kind="stable")
+        begin, length = begin[order], length[order]
+        n, most = len(units), int(length[0])
+        state = np.zeros(n, np.int64)
+        last, size = np.full((most + 1, n), -1, np.int64), np.zeros((most + 1, n), np.int64)
+        for end in range(1, most + 1):
+            k = int(np.searchsorted(-length, -end, "right"))
+            state[:k] = steps.step(state[:k], signs[begin[:k] + (end - 1)])
+            todo, at = np.arange(k), steps.first[state[:k]]
+            while len(todo):
+                piece, start = steps.own[at], end - steps.depth[at]
+                fits = start == 0
+                ask = np.flatnonzero(~fits)
+                if len(ask):
+                    fits[ask] = self._fit(last[start[ask], todo[ask]], piece[ask])
+                done = todo[fits]
+                last[end, done], size[end, done] = piece[fits], end - start[fits]
+                todo, at = todo[~fits], steps.link[at[~fits]]
+        count, at, alive = np.zeros(n, np.int64), length.copy(), np.arange(n)
+        path = []  # pieces from the end, the units that are not done yet
+        while len(alive):
+            path.append((alive, last[at[alive], alive]))
+            at[alive] -= size[at[alive], alive]
+            count[alive] += 1
+            alive = alive[at[alive] > 0]
+        stop = np.cumsum(count)
+        out = np.zeros(int(stop[-1]), "<u4")
+        for back, (who, piece) in enumerate(path):
+            out[stop[who] - 1 - back] = piece
+        raw = out.tobytes()
+        encoded: list[bytes] = [b""] * n
+        for i, a, b in zip(order.tolist(), (4 * (stop - count)).tolist(), (4 * stop).tolist(), strict=True):
+            encoded[i] = raw[a:b]
+        return encoded
+
     def _chars_known(self, unit: str) -> list[int]:
         """The merges' path where every character is a piece: then each position has exactly one piece that fits."""
         last = [-1] * (len(unit) + 1)
@@ -158,32 +273,34 @@ class PieceModel:
         return out
 
     def _unit(self, unit: str) -> bytes:
-        parts = self.after_letters.split(unit) if self.after_letters else [unit]
-        if len(parts) > 1:
-            return b"".join([self._cached(p) for p in parts])
         ids = self._chars_known(unit) if self.bpe and self.chars.issuperset(unit) else self._any(unit)
         return np.array(ids, "<u4").tobytes()
 
-    def _cached(self, unit: str) -> bytes:
-        cache = self.cache
-        ids = cache.get(unit)
-        if ids is None:
-            ids = self._unit(unit)
-            if len(unit) <= CACHE_UNIT_CHARS:
-                if len(cache) >= CACHE_UNITS:
-                    cache.clear()
-                cache[unit] = ids
-        return ids
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as 32-bit little-endian; units that the worker does not know are encoded together."""
+        marked = [(SPACE if self.prefix else "") + x.replace(" ", SPACE) if x else "" for x in texts]
+        if not self.splits:
+            return [np.array(self._any(x), "<u4").tobytes() if x else b"" for x in marked]
+        split = [_UNIT.findall(x) for x in marked]
+        wanted = set().union(*split)
+        known = {u: self.older[u] for u in wanted.intersection(self.older)}
+        unknown = wanted.difference(self.cache).difference(known)
+        short = [u for u in unknown if self.bpe and len(u) <= UNIT_CHARS and self.chars.issuperset(u)]
+        for i in range(0, len(short), 1 << 14):
+            part = short[i : i + (1 << 14)]
+            known.update(zip(part, self._together(part), strict=True))
+        for u in unknown.difference(known):
+            known[u] = self._unit(u)
+        if len(self.cache) + len(known) > CACHE_UNITS // 2:
+            known.update((u, self.cache[u]) for u in wanted.intersection(self.cache))
+            self.older, self.cache = self.cache, {}
+        self.cache.update((u, x) for u, x in known.items() if len(u) <= UNIT_CHARS)
+        known.update((u, self.cache[u]) for u in wanted.difference(known))
+        return [b"".join(itemgetter(*us)(known)) if len(us) > 1 else known[us[0]] if us else b"" for us in split]
 
     def encode_bytes(self, text: str | None) -> bytes:
         """Ids as 32-bit little-endian."""
-        if not text:
-            return b""
-        marked = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
-        if not self.splits:
-            return np.array(self._any(marked), "<u4").tobytes()
-        get, cached = self.cache.get, self._cached
-        return b"".join([get(u) or cached(u) for u in _UNIT.findall(marked)])
+        return self.encode_all([text])[0]
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
@@ -222,7 +339,7 @@ def encode(documents: DataFrame, model: str, doc_id: str = "doc_id", text: str =
             for i in range(0, batch.num_rows, 512):
                 b = batch.slice(i, 512)
                 texts = b.column(1).to_pylist()
-                packed = [m.encode_bytes(x) for x in texts]
+                packed = m.encode_all(texts)
                 same = [m.decode(np.frombuffer(x, "<u4").tolist()) == (t or "") for x, t in zip(packed, texts, strict=True)]
                 counts = np.array([len(x) // 4 for x in packed], np.int64)
                 columns = [b.column(0), pa.array(counts), pa.array([zlib.crc32(x) for x in packed], pa.int64()), pa.array(same, pa.bool_())]
