@@ -145,7 +145,7 @@ def _(spark, sf_dir):
         graph.Shape("unproven", target_class=term("RelationAssertion"), path=term("supportedBy"), least=1, value_class=term("EvidenceRecord")), graph.Shape("family", target_class=term("Product"), disjoint=term("Family_ECONOMY")),
         graph.Shape("dated", target_class=term("RelationAssertion"), path=term("validTo"), least=1, most=1), graph.Shape("object", target_subjects_of=term("relationId"), path=term("object"), least=1, value_class=term("Supplier")),
         graph.Shape("named", target_class=term("Product"), path=term("entityId"), least=1, most=1, pattern=r'^"P:\d+"$')]
-    return graph.violations(data.unionByName(dropped).select("s", "p", "o"), shapes)
+    return graph.violations(graph.store(data.unionByName(dropped), L.shared_folder(spark)), shapes)
 
 
 @_register("graph_unproven_edges", _WITH + f"SELECT '<urn:x:entity/' || {_ENC.format('subject_id')} || '>' AS s, '<urn:x:entity/' || {_ENC.format('object_id')} || '>' AS o FROM edge WHERE CAST(substr(subject_id, 3) AS BIGINT) % 9 = 0")

@@ -56,6 +56,12 @@ def project(entities: DataFrame, relations: DataFrame, evidence: DataFrame, vers
     return united(data, "data"), united(backing, "evidence")
 
 
+def store(triples: DataFrame, path: str) -> DataFrame:
+    """Triples written with a folder for each predicate and read again: a shape reads its path's folder and that of classes."""
+    triples.select("s", "p", "o").write.partitionBy("p").parquet(path)
+    return triples.sparkSession.read.schema("s string, o string, p string").parquet(path).select("s", "p", "o")
+
+
 @dataclass(frozen=True)
 class Shape:
     """What holds for every subject of a class, or of an edge: how often a path comes, and what its values are."""
