@@ -29,6 +29,8 @@ from .common import _ODD, mix, text_columns, wide
 #: Chunks end where the rolling hash of the last 32 ids has TARGET_BITS zero bits, between MIN_IDS and MAX_IDS ids.
 TARGET_BITS, MIN_IDS, MAX_IDS = 8, 64, 2048
 END_ID = 2
+#: Documents of a shard, about: what one task sorts and hashes when a store is written and read.
+SHARD_DOCS = 200_000
 #: Words kept with their ids in each worker; longer words than this are encoded each time.
 CACHE_WORDS, CACHE_WORD_BYTES = 1_000_000, 64
 _GEAR = mix(np.arange(1 << 16, dtype=np.uint64) * _ODD)
@@ -221,11 +223,12 @@ def write(documents: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[j] for r in rows] + [None] * len(new), raw[j].type) for j in range(4)] + [pa.array([None] * k + [c[j] for c in new], raw[j + 4].type) for j in range(3)], schema=raw)
 
-    n = shards or wide(spark)
     staged = f"{path}/staged"
     docs.mapInArrow(encode, "doc_id long, n_tokens long, digests binary, root binary, digest binary, n int, payload binary").withColumn("kind", F.when(F.col("digest").isNull(), "recipe").otherwise("chunk")).write.partitionBy("kind").option("compression", "zstd").parquet(staged)
-    spark.read.parquet(f"{staged}/kind=chunk").select("digest", "n", "payload").repartition(n, "digest").dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{path}/chunks") if _has(spark, f"{staged}/kind=chunk") else spark.createDataFrame([], "digest binary, n int, payload binary").write.parquet(f"{path}/chunks")
-    recipes = spark.read.parquet(f"{staged}/kind=recipe").select("doc_id", "n_tokens", "digests", "root") if _has(spark, f"{staged}/kind=recipe") else spark.createDataFrame([], "doc_id long, n_tokens long, digests binary, root binary")
+    kinds = {"chunk": "digest binary, n int, payload binary", "recipe": "doc_id long, n_tokens long, digests binary, root binary"}
+    chunks, recipes = (spark.read.schema(schema).parquet(f"{staged}/kind={k}") if _has(spark, f"{staged}/kind={k}") else spark.createDataFrame([], schema) for k, schema in kinds.items())
+    n = shards or max(wide(spark), -(-recipes.count() // SHARD_DOCS))
+    chunks.repartition(n, "digest").dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
     ordered = recipes.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "root").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root")
     ordered.withColumn("shard", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()).write.parquet(f"{path}/recipes")
     _drop(spark, staged)
