@@ -111,6 +111,25 @@ def workbook_rows(spark: SparkSession, lines: list[list], columns: list[str], ex
     return spark.createDataFrame(out, T.StructType([T.StructField(c, T.StringType()) for c in columns]))
 
 
+#: Fixed value: header of a workbook's sheet that describes the columns of another.
+SCHEMA_HEADER = ["순번", "컬럼명", "데이터타입", "Nullable", "컬럼코멘트"]
+
+
+def check_schema_sheet(lines: list[list], columns: list[str]) -> None:
+    """Refuses a schema sheet (its lines) whose header or whose named columns, in order, are not those expected."""
+    if not lines or list(lines[0][:5]) != SCHEMA_HEADER or [x[1] for x in lines[1:] if len(x) > 1 and x[1] is not None] != columns:
+        raise Refused("SOURCE_SCHEMA_MISMATCH")
+
+
+def restore(spark: SparkSession, folder: str, expected: dict[str, tuple[list[str], int]]) -> dict[str, DataFrame]:
+    """Tables of a backup folder, each a Parquet folder; refused if one's columns or number of rows is not the expected."""
+    out = {name: spark.read.parquet(f"{folder}/{name}") for name in expected}
+    for name, (columns, n) in expected.items():
+        if out[name].columns != columns or out[name].count() != n:
+            raise Refused("RESTORE_MISMATCH", name)
+    return out
+
+
 def read_quads(spark: SparkSession, path: str) -> DataFrame:
     """graph, s, p, o of N-Quads lines; o keeps its quotes and type."""
     pattern = r"^\s*(<[^>]*>|_:\S+)\s+(<[^>]*>)\s+(.+?)\s+(<[^>]*>)\s*\.\s*$"

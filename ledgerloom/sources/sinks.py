@@ -104,3 +104,93 @@ class Datasets:
             raise Refused("DATASET_ACTIVE", version)
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions/dataset_version={version}")  # noqa: SLF001
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)  # noqa: SLF001
+
+
+#: What must be checked of a version before it is activated.
+COMPONENTS = ("tables", "graph", "vectors", "evidence")
+
+
+class Lifecycle(Datasets):
+    """Versions that go from building to validated or failed, from validated to active, and from active to retired; no other way.
+
+    Each step is a record of its own that is written once, so that a step that is repeated finds what it left.
+    """
+
+    def _record(self, at: str, row: tuple, schema: str, code: str) -> None:
+        where = f"{self.path}/{at}"
+        if _exists(self.spark, f"{where}/_SUCCESS"):
+            if tuple(self.spark.read.schema(schema).parquet(where).first()) != row:
+                raise Refused(code, at)
+            return
+        self.spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").parquet(where)
+
+    def _manifest(self, version: str) -> str:
+        at = f"{self.path}/versions/dataset_version={version}"
+        if not _exists(self.spark, at):
+            raise Refused("DATASET_NOT_FOUND", version)
+        return self.spark.read.parquet(at).first().manifest_hash
+
+    def state(self, version: str) -> str:
+        self._manifest(version)
+        if self.active() == version:
+            return "active"
+        if _exists(self.spark, f"{self.path}/activations/version={version}"):
+            return "retired"
+        at = f"{self.path}/validations/version={version}"
+        return self.spark.read.parquet(at).first().status if _exists(self.spark, at) else "building"
+
+    def require_building(self, version: str) -> None:
+        """Tables of a version are written only while it is being built."""
+        if self.state(version) != "building":
+            raise Refused("DATASET_NOT_BUILDING", version)
+
+    def finish_validation(self, version: str, manifest_hash: str, problems: list[DataFrame]) -> str:
+        """validated if no check finds a row, else failed; for a version that is being built, against its own manifest."""
+        self.require_building(version)
+        if self._manifest(version) != manifest_hash:
+            raise Refused("DATASET_MANIFEST_MISMATCH", version)
+        status = "failed" if any(not p.isEmpty() for p in problems) else "validated"
+        self._record(f"validations/version={version}", (manifest_hash, status), "manifest_hash string, status string", "VALIDATION_CONFLICT")
+        return status
+
+    def record_readiness(self, version: str, component: str, component_hash: str) -> None:
+        if component not in COMPONENTS:
+            raise Refused("COMPONENT_UNKNOWN", component)
+        if self.state(version) != "validated":
+            raise Refused("SUCCESSFUL_VALIDATION_REQUIRED", version)
+        self._record(f"readiness/version={version}/component={component}", (component_hash,), "component_hash string", "READINESS_CONFLICT")
+
+    def activate(self, version: str, problems: list[DataFrame] = []) -> None:  # noqa: B006  (never changed)
+        """Makes a validated version the active one, once all COMPONENTS are ready; the one before is retired."""
+        state = self.state(version)
+        if state == "active":
+            return
+        if state != "validated":
+            raise Refused("DATASET_NOT_VALIDATED", version)
+        if not all(_exists(self.spark, f"{self.path}/readiness/version={version}/component={c}") for c in COMPONENTS):
+            raise Refused("DATASET_READINESS_INCOMPLETE", version)
+        self._record(f"activations/version={version}", (version,), "dataset_version string", "ACTIVATION_CONFLICT")
+        super().activate(version, problems)
+
+    def remove_building(self, version: str) -> None:
+        self.require_building(version)
+        super().remove_building(version)
+
+
+def import_supplement(rows: DataFrame, identifiers: DataFrame, path: str, keys: list[str]) -> int:
+    """Writes rows under the one entity that their identifier names; returns how many are new.
+
+    rows: identifier_value and others; identifiers: identifier_value, entity_id.  A value that names no entity or several
+    refuses all rows, before anything is written; rows that are there must be equal (write_exact), and are read back.
+    """
+    per = identifiers.groupBy("identifier_value").agg(F.min("entity_id").alias("entity_id"), F.count_distinct("entity_id").alias("n"))
+    matched = rows.join(per, "identifier_value", "left")
+    for code, broken in (("SUPPLEMENT_UNMATCHED", matched.where("n is null")), ("SUPPLEMENT_AMBIGUOUS", matched.where("n > 1"))):
+        if not broken.isEmpty():
+            raise Refused(code, str(broken.first().identifier_value))
+    out = matched.drop("n", "identifier_value")
+    n = write_exact(out, path, keys)
+    there = rows.sparkSession.read.parquet(path).select(*out.columns)
+    if not out.exceptAll(there.join(out.select(*keys), keys, "left_semi").select(*out.columns)).isEmpty():
+        raise Refused("SUPPLEMENT_READ_BACK", path)
+    return n

@@ -163,3 +163,58 @@ def test_documents(spark):
     retrieval.check_same_metadata({"a": hits("1"), "b": hits("1")}, ("doc_id",), ("version",))
     with pytest.raises(Refused, match="HIT_METADATA_DRIFT"):
         retrieval.check_same_metadata({"a": hits("1"), "b": hits("2")}, ("doc_id",), ("version",))
+
+
+def test_lifecycle(spark, tmp_path):
+    from ledgerloom.sources.sinks import COMPONENTS, Lifecycle
+
+    d = Lifecycle(spark, f"file://{tmp_path}/d")
+    d.create("v1", "h1", "2026-01-01")
+    d.create("v2", "h2", "2026-01-02")
+    assert d.state("v1") == "building"
+    none = spark.range(0)
+    for call, code in (
+        (lambda: d.activate("v1"), "DATASET_NOT_VALIDATED"), (lambda: d.record_readiness("v1", "graph", "x"), "SUCCESSFUL_VALIDATION_REQUIRED"), (lambda: d.finish_validation("v1", "h2", [none]), "DATASET_MANIFEST_MISMATCH"), (lambda: d.state("v9"), "DATASET_NOT_FOUND")):
+        with pytest.raises(Refused, match=code):
+            call()
+    assert d.finish_validation("v2", "h2", [none, spark.range(1)]) == d.state("v2") == "failed"
+    assert d.finish_validation("v1", "h1", [none]) == "validated"
+    for call, code in ((lambda: d.finish_validation("v1", "h1", [none]), "DATASET_NOT_BUILDING"), (lambda: d.activate("v1"), "READINESS_INCOMPLETE"), (lambda: d.record_readiness("v1", "odd", "x"), "COMPONENT_UNKNOWN"), (lambda: d.remove_building("v1"), "DATASET_NOT_BUILDING")):
+        with pytest.raises(Refused, match=code):
+            call()
+    for c in COMPONENTS:
+        d.record_readiness("v1", c, c)
+    with pytest.raises(Refused, match="READINESS_CONFLICT"):
+        d.record_readiness("v1", "graph", "other")
+    d.activate("v1")
+    d.activate("v1")
+    assert (d.state("v1"), d.active()) == ("active", "v1")
+    d.create("v3", "h3", "2026-01-03")
+    d.require_building("v3")
+    d.finish_validation("v3", "h3", [])
+    for c in COMPONENTS:
+        d.record_readiness("v3", c, c)
+    d.activate("v3")
+    assert (d.state("v1"), d.state("v3")) == ("retired", "active")
+    with pytest.raises(Refused, match="DATASET_NOT_VALIDATED"):
+        d.activate("v1")
+
+
+def test_supplements_and_backups(spark, tmp_path):
+    from ledgerloom.sources import files, sinks
+
+    idents = spark.createDataFrame([("x", "e1"), ("y", "e2"), ("y", "e3"), ("x", "e1")], "identifier_value string, entity_id string")
+    rows = lambda *v: spark.createDataFrame(list(v), "identifier_value string, day string, weight int")
+    path = f"file://{tmp_path}/s"
+    assert sinks.import_supplement(rows(("x", "a", 1)), idents, path, ["entity_id", "day"]) == 1
+    assert sinks.import_supplement(rows(("x", "a", 1), ("x", "b", 2)), idents, path, ["entity_id", "day"]) == 1
+    for bad, code in ((("z", "a", 1), "UNMATCHED"), (("y", "a", 1), "AMBIGUOUS"), (("x", "a", 9), "STORED_ROW_DRIFT")):
+        with pytest.raises(Refused, match=code):
+            sinks.import_supplement(rows(bad), idents, path, ["entity_id", "day"])
+    assert spark.read.parquet(path).count() == 2
+    assert files.restore(spark, f"file://{tmp_path}", {"s": (["day", "weight", "entity_id"], 2)})["s"].count() == 2
+    with pytest.raises(Refused, match="RESTORE_MISMATCH"):
+        files.restore(spark, f"file://{tmp_path}", {"s": (["day"], 2)})
+    files.check_schema_sheet([files.SCHEMA_HEADER, [1, "a", "x"], [None, None], [2, "b", "x"]], ["a", "b"])
+    with pytest.raises(Refused, match="SOURCE_SCHEMA_MISMATCH"):
+        files.check_schema_sheet([files.SCHEMA_HEADER, [1, "b", "x"]], ["a", "b"])
