@@ -163,3 +163,12 @@ def normalize_with_origins(text: str) -> tuple[str, list[tuple[int, int]]]:
 def applicable_date(*candidates: Column) -> Column:
     """The first of a column group's days that is there and a day: yyyyMMdd text, the markers of no day left out."""
     return F.coalesce(*[F.when(~F.trim(c).isin("", "00000000", "99991231") & F.trim(c).rlike(r"^\d{8}$"), F.call_function("try_to_date", F.trim(c), F.lit("yyyyMMdd"))) for c in candidates])
+
+
+def cutoff_status(ts: Column, cutoff: Column, zone: str = "UTC") -> Column:
+    """eligible up to the end of the cutoff day in `zone`, then late; unknown without a time.
+
+    Evidence is dated in UTC, documents and claims in Asia/Seoul: in the nine hours before midnight UTC they disagree.
+    """
+    day = local_date(ts, zone)
+    return F.when(day.isNull(), "unknown").when(day <= cutoff, "eligible").otherwise("late")

@@ -217,3 +217,25 @@ def _(spark, sf_dir):
     k = F.col("p_partkey") % 4
     p = _table(spark, sf_dir, "part").select("p_partkey", F.when(k == 0, " 20260821").when(k == 1, "00000000").when(k == 2, "99991231").otherwise("2026083x").alias("a"), F.when(k != 2, "20260131").alias("b"))
     return p.select("p_partkey", T.applicable_date(F.col("a"), F.col("b")).alias("day"))
+
+
+@_register("cutoff_in_two_zones", "SELECT event_id, CASE WHEN CAST(ts AS DATE) <= c THEN 'eligible' ELSE 'late' END AS evidence, CASE WHEN CAST(ts + INTERVAL 9 HOUR AS DATE) <= c THEN 'eligible' ELSE 'late' END AS document FROM events, (SELECT CAST(min(ts) AS DATE) + 5 AS c FROM events)")
+def _(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select("event_id", "ts")
+    cut = e.agg(F.date_add(F.to_date(F.min("ts")), 5).alias("c"))
+    both = e.crossJoin(F.broadcast(cut))  # one row
+    return both.select("event_id", T.cutoff_status(F.col("ts"), F.col("c")).alias("evidence"), T.cutoff_status(F.col("ts"), F.col("c"), "Asia/Seoul").alias("document"))
+
+
+@_register("claims_verified", """SELECT o_orderkey AS claim_id, CASE WHEN n IS NULL THEN 'NO_EVIDENCE' WHEN bad > 0 THEN 'INELIGIBLE' WHEN late > 0 THEN 'AFTER_CUTOFF' WHEN o_orderkey % 7 = 0 THEN 'CALCULATION_MISMATCH' WHEN o_orderkey % 2 = 0 AND c_mktsegment <> 'BUILDING' THEN 'CLASS_NOT_ALLOWED'
+WHEN o_orderkey % 5 = 0 AND c_acctbal < 0 THEN 'NOT_COVERED' ELSE 'VERIFIED' END AS verdict FROM orders JOIN customer ON c_custkey = o_custkey
+LEFT JOIN (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS bad, count(*) FILTER (CAST(l_shipdate + INTERVAL 9 HOUR AS DATE) > DATE '1997-06-30') AS late FROM lineitem WHERE l_quantity > 20 GROUP BY l_orderkey) ON l_orderkey = o_orderkey""")
+def _(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    claims = o.select(k.alias("claim_id"), F.col("o_custkey").cast("string").alias("entity_id"), F.when(k % 2 == 0, "weight").otherwise("price").alias("concept"), (k % 5 == 0).alias("absence"))
+    evidence = _table(spark, sf_dir, "lineitem").where("l_quantity > 20").select(F.col("l_orderkey").alias("claim_id"), (F.col("l_returnflag") != "R").alias("eligible"), F.col("l_shipdate").alias("published_at"))
+    calculations = o.select(k.alias("claim_id"), F.when(k % 7 == 0, "MISMATCH").otherwise("MATCH").alias("verdict"))
+    c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("entity_id"), F.col("c_mktsegment").alias("class"), "c_acctbal")
+    coverage = c.where("c_acctbal >= 0").select("entity_id", F.explode(F.array(F.lit("price"), F.lit("weight"))).alias("concept"))
+    return C.verify(claims, evidence, F.lit(dt.date(1997, 6, 30)), calculations, coverage, c.select("entity_id", "class"), {"weight": "BUILDING"})

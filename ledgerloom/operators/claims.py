@@ -50,3 +50,23 @@ def render(released: DataFrame, names: DataFrame) -> DataFrame:
     """position and line of each released claim: name, concept, value, and the numbers of its evidence."""
     line = F.concat(F.col("name"), F.lit(" — "), F.col("concept"), F.lit(": "), F.col("value"), F.lit(" ["), F.array_join("evidence_ids", ", "), F.lit("]"))
     return released.join(names.select("entity_id", "name"), "entity_id", "left").select("position", line.alias("line")).orderBy("position")
+
+
+def verify(claims: DataFrame, evidence: DataFrame, cutoff, calculations: DataFrame, coverage: DataFrame, classes: DataFrame, allowed: dict[str, str], zone: str = "Asia/Seoul") -> DataFrame:
+    """claim_id and verdict: the first that holds of NO_EVIDENCE, INELIGIBLE, AFTER_CUTOFF, CALCULATION_MISMATCH, CLASS_NOT_ALLOWED, NOT_COVERED, else VERIFIED.
+
+    claims: claim_id, entity_id, concept, absence (whether it says that there is none); evidence: claim_id, eligible,
+    published_at; calculations: claim_id, verdict; coverage: entity_id, concept that are known to be complete, without which
+    an absence is no fact; classes: entity_id, class; allowed: the class that a concept's entities must have.
+    """
+    late = ~F.coalesce(F.to_date(F.from_utc_timestamp("published_at", zone)) <= cutoff, F.lit(False))
+    per = evidence.groupBy("claim_id").agg(F.count("*").alias("n"), F.count_if(~F.coalesce("eligible", F.lit(False))).alias("bad"), F.count_if(late).alias("late"))
+    wrong = calculations.where("verdict != 'MATCH'").select("claim_id", F.lit(True).alias("wrong")).distinct()
+    needed = F.create_map(*[F.lit(x) for pair in allowed.items() for x in pair]) if allowed else F.lit(None).cast("map<string,string>")
+    fitting = classes.select("entity_id", F.col("class").alias("needed"), F.lit(True).alias("fits")).distinct()
+    known = coverage.select("entity_id", "concept", F.lit(True).alias("covered")).distinct()
+    rows = claims.withColumn("needed", needed[F.col("concept")]).join(per, "claim_id", "left").join(wrong, "claim_id", "left").join(fitting, ["entity_id", "needed"], "left").join(known, ["entity_id", "concept"], "left")
+    verdict = (
+        F.when(F.col("n").isNull(), "NO_EVIDENCE").when(F.col("bad") > 0, "INELIGIBLE").when(F.col("late") > 0, "AFTER_CUTOFF").when(F.col("wrong"), "CALCULATION_MISMATCH")
+        .when(F.col("needed").isNotNull() & F.col("fits").isNull(), "CLASS_NOT_ALLOWED").when(F.col("absence") & F.col("covered").isNull(), "NOT_COVERED").otherwise("VERIFIED"))
+    return rows.select("claim_id", verdict.alias("verdict"))

@@ -17,6 +17,7 @@ from .errors import Refused
 from .model import Aggregate, Compare, Lookup, Operation, Predicate, Qualifiers, Rank, Scope, Screen, atoms
 from .predicates import PRESENT, lower
 from .registry import Binding, Registry
+from .results import refuse_duplicates
 
 #: Arrays of ids in a result hold no more than a result may have rows.
 CEILING = 10_000
@@ -33,10 +34,20 @@ def compile_plan(plan: Operation, ledger: Ledger, registry: Registry, prior: dic
 
 
 def check_bindings(plan: Operation, registry: Registry) -> None:
-    """Relation conditions that need a day are refused without one, whatever the action; so is a family's predicate that does."""
-    for condition in plan.scope.conditions:
+    """What a plan may not ask for: relations of a compared or summed scope, or barred for its family, or without the day
+    that they need; and qualifiers of a count that no concept of it takes up."""
+    scope = plan.scope
+    if scope.conditions and isinstance(plan, Compare | Aggregate):
+        raise Refused("RELATION_SCOPE_UNSUPPORTED", type(plan).__name__)
+    for condition in scope.conditions:
+        if (scope.family, condition.predicate) in registry.barred:
+            raise Refused("RELATION_NOT_ALLOWED", f"{scope.family}/{condition.predicate}")
         if (condition.as_of_required or condition.predicate in registry.dated) and plan.qualifiers.as_of is None:
             raise Refused("AS_OF_REQUIRED", condition.predicate)
+    if isinstance(plan, Aggregate) and plan.function in ("count", "count_distinct") and not plan.groups and plan.predicate is None:
+        q = plan.qualifiers
+        if q.currency or q.unit or q.period or (q.as_of and plan.representative is None):
+            raise Refused("QUALIFIER_NOT_CONSUMED")
 
 
 def population(scope: Scope, ledger: Ledger, prior: dict[str, DataFrame], qualifiers: Qualifiers, registry: Registry | None = None) -> DataFrame:
@@ -112,6 +123,11 @@ def _evident(rows: DataFrame, concepts: tuple[str, ...]) -> DataFrame:
     return rows.where(reduce(lambda a, b: a & b, [F.col(f"{c}__evidence_ids").isNotNull() for c in dict.fromkeys(concepts)], F.lit(True)))
 
 
+def _single(rows: DataFrame) -> DataFrame:
+    """Two observations that fit one product are no answer: reading its rows fails, none is chosen."""
+    return refuse_duplicates(rows, ["entity_id"])
+
+
 def _shown(concepts: tuple[str, ...], status: bool) -> list[Column]:
     out = [F.col("entity_id"), F.col("product_name")]
     for c in dict.fromkeys(concepts):
@@ -124,7 +140,7 @@ def _shown(concepts: tuple[str, ...], status: bool) -> list[Column]:
 
 def _lookup(plan: Lookup, ledger, registry, prior) -> DataFrame:
     rows, _ = _fields(population(plan.scope, ledger, prior, plan.qualifiers, registry), plan.concepts, plan.scope.family, ledger, registry, plan.qualifiers)
-    return _evident(rows, plan.concepts).select(*_shown(plan.concepts, True)).orderBy("entity_id")
+    return _single(_evident(rows, plan.concepts).select(*_shown(plan.concepts, True))).orderBy("entity_id")
 
 
 def _needed(concepts: tuple[str, ...], predicate: Predicate | None) -> tuple[str, ...]:
@@ -136,7 +152,7 @@ def _screen(plan: Screen, ledger, registry, prior) -> DataFrame:
     rows, field = _fields(population(plan.scope, ledger, prior, plan.qualifiers, registry), needed, plan.scope.family, ledger, registry, plan.qualifiers)
     rows = rows.where(lower(plan.predicate, field))
     if plan.limit is None:
-        return _evident(rows, plan.concepts).select(*_shown(plan.concepts, False)).orderBy("entity_id")
+        return _single(_evident(rows, plan.concepts).select(*_shown(plan.concepts, False))).orderBy("entity_id")
     # bounded: count and cut the distinct products whose shown observations have eligible evidence
     for c in dict.fromkeys(plan.concepts):
         rows = rows.where(F.col(f"{c}__proven"))
@@ -157,7 +173,9 @@ def _rank(plan: Rank, ledger, registry, prior) -> DataFrame:
     for c in keys:
         rows = rows.where(field(c)[1].isin(*PRESENT))
     order = [F.col(c).asc() if way == "asc" else F.col(c).desc() for c, way in plan.keys]
-    return _evident(rows, shown).select(*_shown(shown, False)).orderBy(*order, F.col("entity_id").asc()).limit(plan.limit)
+    order.append(F.col("entity_id").asc())
+    top = _evident(rows, shown).select(*_shown(shown, False)).orderBy(*order).limit(plan.limit)
+    return _single(top).orderBy(*order)  # a hundred rows at most
 
 
 def _compare(plan: Compare, ledger, registry, prior) -> DataFrame:

@@ -56,16 +56,17 @@ class Proof:
 
 
 class Registry:
-    """Bindings by family and concept, members of families, predicates that need a day, proofs of populations; frozen, and hashed by content."""
+    """Bindings by family and concept, members of families, predicates that need a day, proofs of populations, relations that a family has not; frozen, and hashed by content."""
 
-    def __init__(self, bindings: tuple[Binding, ...], members: tuple[Member, ...] = (), dated: tuple[str, ...] = (), proofs: tuple[Proof, ...] = ()) -> None:
+    def __init__(self, bindings: tuple[Binding, ...], members: tuple[Member, ...] = (), dated: tuple[str, ...] = (), proofs: tuple[Proof, ...] = (), barred: tuple[tuple[str, str], ...] = ()) -> None:
         self.members = {m.family: m for m in members}
         self.dated = frozenset(dated)
         self.proofs = {p.family: p for p in proofs}
+        self.barred = frozenset(barred)
         self._by = {(b.family, b.concept): b for b in bindings}
         if len(self._by) != len(bindings):
             raise Refused("BINDING_DUPLICATE")
-        self.hash = hashlib.sha256(json.dumps([[asdict(b) for b in bindings], [asdict(m) for m in members], sorted(dated), [asdict(p) for p in proofs]], sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+        self.hash = hashlib.sha256(json.dumps([[asdict(b) for b in bindings], [asdict(m) for m in members], sorted(dated), [asdict(p) for p in proofs], sorted(barred)], sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
     def binding(self, family: str, concept: str) -> Binding:
         found = self._by.get((family, concept)) or self._by.get(("*", concept))

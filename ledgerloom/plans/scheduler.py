@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 import uuid
 from collections.abc import Callable
@@ -13,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .errors import Refused
 from .model import Operation
 
-ATTEMPTS, CONCURRENT, DEADLINE_S = 2, 4, 55.0
+#: Attempts of a task, retries of all tasks together, tasks at once, seconds for all.
+ATTEMPTS, RETRIES, CONCURRENT, DEADLINE_S = 2, 2, 4, 55.0
 
 
 @dataclass(frozen=True)
@@ -46,6 +48,7 @@ def run_tasks(spark: SparkSession, tasks: list[Task], build: Callable[[Operation
     results: dict[str, tuple[str, list]] = {}
     groups = {t.name: f"task-{uuid.uuid4().hex}" for t in tasks}
     end = time.monotonic() + deadline_s
+    retries = threading.Semaphore(RETRIES)
 
     def one(task: Task) -> tuple[str, list]:
         group = groups[task.name]
@@ -57,7 +60,7 @@ def run_tasks(spark: SparkSession, tasks: list[Task], build: Callable[[Operation
             except Refused:
                 return "failed", []
             except Exception:
-                if attempt + 1 == ATTEMPTS or time.monotonic() > end:
+                if attempt + 1 == ATTEMPTS or time.monotonic() > end or not retries.acquire(blocking=False):
                     return "failed", []
         return "failed", []
 

@@ -94,12 +94,31 @@ def test_a_count_says_what_it_rests_on(both, monkeypatch):
 def test_dated_predicates_are_refused_without_a_day(both):
     strict = Registry(BINDINGS, dated=("suppliedBy",))
     held = Scope("ECONOMY", ("P:1", "P:7"), conditions=(RelationCondition("suppliedBy"),))
-    for plan in (Compare(held, ("price",)), Aggregate(held, "count"), Lookup(held, ("price",))):
-        with pytest.raises(Refused, match="AS_OF_REQUIRED"):
-            compile_plan(plan, both[1], strict)
+    barred = Registry(BINDINGS, barred=(("ECONOMY", "suppliedBy"),))
+    for plan, registry, code in (
+        (Lookup(held, ("price",)), strict, "AS_OF_REQUIRED"), (Rank(held, (("price", "asc"),)), strict, "AS_OF_REQUIRED"), (Compare(held, ("price",)), DEFAULT, "RELATION_SCOPE_UNSUPPORTED"), (Aggregate(held, "count"), DEFAULT, "RELATION_SCOPE_UNSUPPORTED"),
+        (Lookup(held, ("price",)), barred, "RELATION_NOT_ALLOWED"), (Aggregate(SCOPE, "count", qualifiers=Qualifiers(currency="USD")), DEFAULT, "QUALIFIER_NOT_CONSUMED"), (Aggregate(SCOPE, "count", qualifiers=Qualifiers(as_of=dt.date(1998, 8, 2))), DEFAULT, "QUALIFIER_NOT_CONSUMED")):
+        with pytest.raises(Refused, match=code):
+            compile_plan(plan, both[1], registry)
     assert Registry(BINDINGS).hash != strict.hash != Registry(BINDINGS, (Member("ECONOMY", "part.grade", "AAA"),)).hash
 
 
+def test_two_observations_of_one_product_are_refused(both):
+    base = both[0]
+    twice = base.observations.unionByName(base.observations.where("observation_id = 'O:part.size:7'").withColumn("observation_id", F.lit("again")))
+    proof = base.observation_evidence.unionByName(base.observation_evidence.where("observation_id = 'O:part.size:7'").withColumn("observation_id", F.lit("again")))
+    ledger = L.Ledger(base.pin, base.products, twice, proof, base.relations, base.relation_evidence)
+    scope = Scope(base.products.where("entity_id = 'P:7'").first().product_family)
+    for plan in (Lookup(scope, ("size",)), Screen(scope, ("size",), Atom("size", "gte", (0,))), Rank(scope, (("size", "desc"),), limit=100)):
+        with pytest.raises(Exception, match="RETURNED_DUPLICATE_ROW P:7"):
+            compile_plan(plan, ledger, DEFAULT).collect()
+    # sums run over observations: both count
+    one, two = (compile_plan(Aggregate(scope, "avg", "size"), x, DEFAULT).first().n_observations for x in (base, ledger))
+    assert two == one + 1
+    bounded = compile_plan(Screen(Scope(scope.family, ("P:7",)), ("size",), Atom("size", "gte", (0,)), limit=5), ledger, DEFAULT).collect()
+    assert len(bounded) <= 1
+
+
 def test_results(spark):
     rows = spark.createDataFrame([("a", None, "missing", "late"), ("b", Decimal(0), "zero", None), ("c", None, "placeholder", None)], "entity_id string, x decimal(38,12), x_status string, x_reason string")
     assert [(r.subject_id, r.reason_code) for r in exclusions(rows, ("x",)).orderBy("subject_id").collect()] == [("a", "late"), ("c", "PLACEHOLDER")]
