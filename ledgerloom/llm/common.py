@@ -29,11 +29,11 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/ledgerloom-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def materialize(df: DataFrame) -> DataFrame:
     """Writes df to the shared scratch folder and reads it again: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark)
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path  # noqa: SLF001
     return out

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 #: Encoded units kept by each worker in two halves, the older of which is dropped; the longest that is kept or encoded
 #: beside others; pairs of pieces kept.
-CACHE_UNITS, UNIT_CHARS, CACHE_PAIRS = 200_000, 64, 500_000
+CACHE_UNITS, UNIT_CHARS, CACHE_PAIRS = 200_000, 64, 250_000
 #: Places of the tables of steps of the automaton and of pairs of pieces: a place holds the key seen there last.
 SLOTS = 1 << 20
 SPACE = "▁"

@@ -66,7 +66,8 @@ def repeated_passages(documents: DataFrame, doc_id: str = "doc_id", text: str =
     docs = text_columns(documents, doc_id=doc_id, text=text)
     length = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(wide(spark), -(-length // PART_BYTES))
-    schema = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("grp", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
+    schema = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("grp", pa.int64()), *[(n, pa.binary()) for n in "abcd"]])
+    both = pa.schema([*schema, *[(f"m{n}", pa.binary()) for n in "abcd"]])  # meta rows have columns of their own
     null_id = -(1 << 63)
 
     def emit(batches):
@@ -89,10 +90,10 @@ def repeated_passages(documents: DataFrame, doc_id: str = "doc_id", text: str =
             same = np.empty(len(k), np.uint32)  # each chunk's distinct key in the group
             same[order] = np.repeat(np.arange(len(at), dtype=np.uint32), length)
             ids, counts, chars, n_words = zip(*meta, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(["meta"]), pa.array([0], pa.int32()), pa.array([grp]), pa.array([np.array([(d, c) for d, c in zip(ids, counts, strict=True)], np.int64).tobytes()]), pa.array([np.concatenate(chars).tobytes()]), pa.array([np.concatenate(n_words).tobytes()]), pa.array([same.tobytes()])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(["meta"]), pa.array([0], pa.int32()), pa.array([grp]), *[pa.nulls(1, pa.binary())] * 4, pa.array([np.array([(d, c) for d, c in zip(ids, counts, strict=True)], np.int64).tobytes()]), pa.array([np.concatenate(chars).tobytes()]), pa.array([np.concatenate(n_words).tobytes()]), pa.array([same.tobytes()])], schema=both)
             distinct, least = ks[at], ws[at]
             for part, s in deal(distinct, parts):
-                yield pa.RecordBatch.from_arrays([pa.array(["key"]), pa.array([part], pa.int32()), pa.array([grp]), pa.array([distinct[s].tobytes()]), pa.array([least[s].tobytes()]), pa.array([np.arange(s.start, s.stop, dtype=np.uint32).tobytes()]), pa.array([several[s].tobytes()])], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(["key"]), pa.array([part], pa.int32()), pa.array([grp]), pa.array([distinct[s].tobytes()]), pa.array([least[s].tobytes()]), pa.array([np.arange(s.start, s.stop, dtype=np.uint32).tobytes()]), pa.array([several[s].tobytes()]), *[pa.nulls(1, pa.binary())] * 4], schema=both)
 
         for batch in batches:
             for piece, data, at in blocks(batch, "text"):
@@ -145,8 +146,8 @@ def repeated_passages(documents: DataFrame, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([pa.array(["hit"]), pa.array([0], pa.int32()), pa.array([int(g[hit[x]])]), pa.array([i[hit[x:y]].tobytes()]), pa.array([owner[x:y].tobytes()]), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())], schema=schema)
 
     columns = "kind string, part int, grp long, a binary, b binary, c binary, d binary"
-    dealt = materialize(docs.mapInArrow(emit, columns), ("kind",))
-    of = lambda kind: dealt.where(F.col("kind") == kind).select("kind", "part", "grp", "a", "b", "c", "d")
+    dealt = materialize(docs.mapInArrow(emit, columns + ", ma binary, mb binary, mc binary, md binary"))
+    of = lambda kind: dealt.where(F.col("kind") == kind).select("kind", "part", "grp", *[F.col(f"m{n}" if kind == "meta" else n).alias(n) for n in "abcd"])
     hits = of("key").repartitionById(parts, F.col("part")).mapInArrow(meet, columns)
 
     def passages(batches):

@@ -224,9 +224,10 @@ def write(documents: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id
                     [pa.array([r[j] for r in rows] + [None] * len(new), raw[j].type) for j in range(4)] + [pa.array([None] * k + [c[j] for c in new], raw[j + 4].type) for j in range(3)], schema=raw)
 
     staged = f"{path}/staged"
-    docs.mapInArrow(encode, "doc_id long, n_tokens long, digests binary, root binary, digest binary, n int, payload binary").withColumn("kind", F.when(F.col("digest").isNull(), "recipe").otherwise("chunk")).write.partitionBy("kind").option("compression", "zstd").parquet(staged)
-    kinds = {"chunk": "digest binary, n int, payload binary", "recipe": "doc_id long, n_tokens long, digests binary, root binary"}
-    chunks, recipes = (spark.read.schema(schema).parquet(f"{staged}/kind={k}") if _has(spark, f"{staged}/kind={k}") else spark.createDataFrame([], schema) for k, schema in kinds.items())
+    kinds = "doc_id long, n_tokens long, digests binary, root binary, digest binary, n int, payload binary"
+    docs.mapInArrow(encode, kinds).write.option("compression", "zstd").parquet(staged)
+    both = spark.read.schema(kinds).parquet(staged)  # recipes and chunks have columns of their own
+    chunks, recipes = both.where("digest is not null").select("digest", "n", "payload"), both.where("root is not null").select("doc_id", "n_tokens", "digests", "root")
     n = shards or max(wide(spark), -(-recipes.count() // SHARD_DOCS))
     chunks.repartition(n, "digest").dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
     ordered = recipes.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "root").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root")
@@ -257,11 +258,6 @@ def _shard_roots(stored: DataFrame) -> DataFrame:
     return stored.select("shard", "row", "root").repartition("shard").mapInArrow(roots, "shard int, root binary")
 
 
-def _has(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)  # noqa: SLF001
-
-
 def _drop(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)  # noqa: SLF001
