@@ -51,6 +51,19 @@ def wide(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows that go to a Python worker at once: texts are long, and a batch is held by the JVM and the worker, twice each.
+ARROW_ROWS = 1000
+
+
+def small_batches(df: DataFrame | SparkSession) -> None:
+    """Sets the session's Arrow batches to ARROW_ROWS rows at most; called by each operator as it builds its plan."""
+    conf = (df if isinstance(df, SparkSession) else df.sparkSession).conf
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(conf.get(name))
+    if now <= 0 or now > ARROW_ROWS:
+        conf.set(name, str(ARROW_ROWS))
+
+
 def quoted(name: str) -> Column:
     """A column by its very name, whatever signs it holds."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, BYTE_VALUES, LOWER, blocks, discard, materialize, quoted, span_hashes, text_columns, window_hashes, words
+from .common import ALNUM, BYTE_VALUES, LOWER, blocks, discard, materialize, quoted, small_batches, span_hashes, text_columns, window_hashes, words
 
 WINDOW = 13
 #: Above this many windows the set is dealt over several passes instead of one broadcast (40 bytes a window).
@@ -98,6 +98,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     alone; an empty benchmark hits nothing.  The benchmark's windows are broadcast in parts of BROADCAST_WINDOWS at most;
     each part is a further pass over the rows, which carry their hits from pass to pass without a shuffle.
     """
+    small_batches(documents)
     whole = [F.struct(*[quoted(c) for c in documents.columns]).alias("kept")] if keep else []
     rows = documents.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"), *whole)
     windows = materialize(item_windows(text_columns(benchmark, item_id=item_id, text=item_text), window))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 
 #: Pages, and characters, of a group; a longer page stands alone.
 GROUP_PAGES, GROUP_CHARS = 256, 8 << 20
@@ -458,6 +458,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page_h
     characters, so that none fills a task; a group of one or two pages has slots between all its tags; columns other than
     the three named do not matter, whatever their names; an empty table gives an empty result.
     """
+    small_batches(pages)
     at = f"coalesce(`{url}`, '')"
     host = F.lower(F.regexp_extract(F.expr(f"if(instr({at}, '://') > 0, substring({at}, instr({at}, '://') + 3), '')"), r"\A([^/?#]*)", 1))
     source = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").alias("url"), F.col(f"`{page_html}`").alias("html"), host.alias("host"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import key_bound, quoted, text_columns
+from .common import key_bound, quoted, small_batches, text_columns
 
 #: Bytes of the raw-content dictionary of one language, and rows looked at for it: the bounds of the fitted sample.
 DICTIONARY_BYTES = 112 << 10
@@ -85,6 +85,7 @@ def fit(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
     Each row gives its middle DICTIONARY_BYTES / SAMPLE_ROWS bytes and more, so that no few texts fill a dictionary.
     """
+    small_batches(documents)
     docs = text_columns(documents, doc_id=doc_id, text=text, lang=lang)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & F.col("text").rlike("[\\p{L}]"))
     per_row = max(256, 4 * DICTIONARY_BYTES // SAMPLE_ROWS)
@@ -135,6 +136,7 @@ def identify(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: s
     letter get `und`, score 0, not accepted; rows are independent, so repeated rows and ties (the first language by name)
     need no order; an empty table gives an empty result.
     """
+    small_batches(documents)
     docs = documents.select(quoted(doc_id).alias("doc_id"), held_out(doc_id).alias("held_out"), *([F.struct(*[quoted(c) for c in documents.columns]).alias("kept")] if keep else [quoted(text).alias("text")]))
     shared = documents.sparkSession.sparkContext.broadcast(model)
     place = documents.columns.index(text)

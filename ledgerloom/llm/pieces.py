@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 #: Encoded units kept by each worker in two halves, the older of which is dropped; the longest that is kept or encoded
 #: beside others; pairs of pieces kept.
 CACHE_UNITS, UNIT_CHARS, CACHE_PAIRS = 200_000, 64, 250_000
@@ -328,6 +330,7 @@ def encode(documents: DataFrame, model: str, doc_id: str = "doc_id", text: str =
     model's own library).  Null and empty texts have no ids; rows are independent, so ties and repeated rows keep their
     own results; an empty table gives an empty result.
     """
+    small_batches(documents)
     docs = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("round_trip", T.BooleanType())]
     if keep_ids:
@@ -355,6 +358,7 @@ def encode(documents: DataFrame, model: str, doc_id: str = "doc_id", text: str =
 
 def decode(encoded: DataFrame, model: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
     """doc_id and text of ids; null ids give a null text, ids outside the model fail."""
+    small_batches(encoded)
 
     def run(batches):
         m = model_of(model)

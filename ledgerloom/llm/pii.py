@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import key_bound, quoted, text_columns
+from .common import key_bound, quoted, small_batches, text_columns
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents with a base span that training looks at, at most: those with the smallest hashed ids.
@@ -430,6 +430,7 @@ def fit(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", rows:
     The documents are those with the smallest hashed ids among about SPARE * rows that are looked at (all of a smaller
     table); each gives SAMPLE_SPANS spans at most, so that no document of nothing but numbers fills the sample.
     """
+    small_batches(documents)
     docs = text_columns(documents, doc_id=doc_id, text=text).select(F.xxhash64("doc_id", "text").alias("k"), "text").where("text is not null")
     docs = docs.where(F.col("k") <= key_bound(documents.count(), SPARE * rows))  # what is gathered does not grow with the input
 
@@ -458,6 +459,7 @@ def find_personal_data(documents: DataFrame, tagger: Tagger | None, doc_id: str
     texts count as empty and stay null in masked; rows are independent, so ties and repeated rows keep their own spans; an
     empty table gives an empty result.
     """
+    small_batches(documents)
     docs = documents.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"), *([F.struct(*[quoted(c) for c in keep]).alias("kept")] if keep else []))
     shared = documents.sparkSession.sparkContext.broadcast(tagger)
     schema = T.StructType([docs.schema["doc_id"], *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS], T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_added", T.LongType()), T.StructField("masked", T.StringType()), *docs.schema.fields[2:]])

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _ODD, BYTE_VALUES, LOWER, SPACED, blocks, materialize, mix, per_text, span_hashes, table_of, text_columns, window_hashes, words
+from .common import BYTE_VALUES, LOWER, SPACED, _ODD, blocks, materialize, mix, per_text, small_batches, span_hashes, table_of, text_columns, window_hashes, words
 
 #: Labelled rows of each class that the model is fitted on at most: those with the smallest hashed ids.
 SAMPLE_ROWS = 1500
@@ -102,6 +102,7 @@ def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
     Rows without a label, text or id are not learned from; with one class alone every probability is that class's.
     """
+    small_batches(documents)
     docs = text_columns(documents, doc_id=doc_id, text=text).where("doc_id is not null and text is not null")
     known = text_columns(labels, doc_id=doc_id, label=label).where("doc_id is not null and label is not null")
     order = F.xxhash64("doc_id")
@@ -175,6 +176,7 @@ def score_quality(documents: DataFrame, model: Classifier, doc_id: str = "doc_id
     a text.  Null texts count as empty and fail; rows are independent, so ties and repeated rows need no order; an empty
     table gives an empty result.
     """
+    small_batches(documents)
     docs = text_columns(documents, doc_id=doc_id, text=text)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, SPACED, blocks, code_points, materialize, mix, quoted, span_hashes, text_columns, wide, words
+from .common import BYTE_VALUES, SPACED, blocks, code_points, materialize, mix, quoted, small_batches, span_hashes, text_columns, wide, words
 from .exchange import GROUP_KEYS, GROUP_TEXTS, deal, runs
 
 #: A cut comes after a word whose gear hash has CUT_BITS zero bits from bit 2 on (the last four words), at least MIN_WORDS
@@ -62,6 +62,7 @@ def repeated_passages(documents: DataFrame, doc_id: str = "doc_id", text: str =
     one document alone, and rows that share a doc_id, are no repeats across documents.  Null, empty and short texts have
     none; rows without a doc_id count as one document with id null; an empty table gives an empty result.
     """
+    small_batches(documents)
     spark = documents.sparkSession
     docs = text_columns(documents, doc_id=doc_id, text=text)
     length = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

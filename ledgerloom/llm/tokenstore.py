@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import _ODD, mix, text_columns, wide
+from .common import _ODD, mix, small_batches, text_columns, wide
 
 #: Chunks end where the rolling hash of the last 32 ids has TARGET_BITS zero bits, between MIN_IDS and MAX_IDS ids.
 TARGET_BITS, MIN_IDS, MAX_IDS = 8, 64, 2048
@@ -187,6 +187,7 @@ def write(documents: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id
     An empty table gives a store without rows.  One pass over the texts: tasks drop chunks they have seen, chunks are
     then dealt by digest, so only ids cross the network, and a chunk that every document holds crosses once a task.
     """
+    small_batches(documents)
     spark = documents.sparkSession
     docs = text_columns(documents, doc_id=doc_id, text=text)
     raw = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.binary()), ("root", pa.binary()), ("digest", pa.binary()), ("n", pa.int32()), ("payload", pa.binary())])
@@ -295,6 +296,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     add up to its own root, or that lacks a shard, is refused.  Chunks yield their crc32, which joins into that of the
     document, so no ids cross the network.
     """
+    small_batches(spark)
     manifest = spark.read.parquet(f"{path}/manifest")
     recipes = spark.read.parquet(f"{path}/recipes")
     told = sorted(manifest.collect(), key=lambda r: r.shard)  # as many rows as shards
@@ -341,6 +343,7 @@ def _pieces():
 
 def read_ids(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
     """doc_id and ids (array of int) of the documents whose doc_id is in `wanted`, all without one."""
+    small_batches(spark)
     recipes = spark.read.parquet(f"{path}/recipes")
     if wanted is not None:
         recipes = recipes.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
