@@ -21,13 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import blocks, small_batches
 
 #: Encoded units kept by each worker in two halves, the older of which is dropped; the longest that is kept or encoded
 #: beside others; pairs of pieces kept.
 CACHE_UNITS, UNIT_CHARS, CACHE_PAIRS = 200_000, 64, 250_000
 #: Places of the tables of steps of the automaton and of pairs of pieces: a place holds the key seen there last.
 SLOTS = 1 << 20
+#: Bytes of text encoded at once; a longer text stands alone.
+AT_ONCE = 2 << 20
 SPACE = "▁"
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -339,8 +341,7 @@ def encode(documents: DataFrame, model: str, doc_id: str = "doc_id", text: str =
     def run(batches):
         m = model_of(model)
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                b = batch.slice(i, 512)
+            for b, _, _ in blocks(batch, "text", AT_ONCE):
                 texts = b.column(1).to_pylist()
                 packed = m.encode_all(texts)
                 same = [m.decode(np.frombuffer(x, "<u4").tolist()) == (t or "") for x, t in zip(packed, texts, strict=True)]

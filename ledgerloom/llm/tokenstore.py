@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import _ODD, mix, small_batches, text_columns, wide
+from .common import _ODD, blocks, mix, small_batches, text_columns, wide
 
 #: Chunks end where the rolling hash of the last 32 ids has TARGET_BITS zero bits, between MIN_IDS and MAX_IDS ids.
 TARGET_BITS, MIN_IDS, MAX_IDS = 8, 64, 2048
 END_ID = 2
 #: Documents of a shard, about: what one task sorts and hashes when a store is written and read.
 SHARD_DOCS = 200_000
+#: Bytes of text encoded at once; a longer text stands alone.
+AT_ONCE = 2 << 20
 #: Words kept with their ids in each worker; longer words than this are encoded each time.
 CACHE_WORDS, CACHE_WORD_BYTES = 1_000_000, 64
 _GEAR = mix(np.arange(1 << 16, dtype=np.uint64) * _ODD)
@@ -202,8 +204,7 @@ def write(documents: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id
         end = encoder.pack([end_id]) if end_id is not None else b""
         seen: set[bytes] = set()
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for part, _, _ in blocks(batch, "text", AT_ONCE):
                 rows: list[tuple] = []
                 new: list[tuple] = []
                 for who, payload in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
