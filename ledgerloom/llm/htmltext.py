@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import materialize, small_batches, wide
 
 #: Pages, and characters, of a group; a longer page stands alone.
 GROUP_PAGES, GROUP_CHARS = 256, 8 << 20
+#: Groups that one task reads, about.
+TASK_GROUPS = 16
 #: A class must occur on this share of a group's pages.
 SUPPORT = 0.5
 #: Fewer pages tell nothing of what recurs.
@@ -464,10 +466,15 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page_h
     source = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").alias("url"), F.col(f"`{page_html}`").alias("html"), host.alias("host"))
     size = F.greatest(F.count("*") / group_pages, F.sum(F.length("html")) / group_chars)
     groups = materialize(source.groupBy("host").agg(F.ceil(size).cast("int").alias("groups")))
-    dealt = source.join(groups, "host").withColumn("dealt", F.pmod(F.xxhash64("page_id", "url"), F.col("groups")).cast("int"))
+    # only hosts of more than one group are looked up: a row for each few hundred pages at most
+    many = groups.where("groups > 1").withColumnRenamed("host", "large")
+    dealt = source.join(many, F.col("host") == F.col("large"), "left").withColumn("dealt", F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("groups")), F.lit(0)).cast("int"))
 
     def run(table: pa.Table) -> pa.Table:
         texts = extract_group(table.column("html").to_pylist())
         return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(x) for x in texts], pa.int64())})
 
-    return dealt.select("page_id", "url", "html", "host", "dealt").groupBy("host", "dealt").applyInArrow(run, "page_id long, url string, text string, n_chars long")
+    # so many tasks that one's share of groups is the same at every size
+    tasks = max(wide(pages.sparkSession), -(-(groups.agg(F.sum("groups")).first()[0] or 0) // TASK_GROUPS))
+    dealt = dealt.select("page_id", "url", "html", "host", "dealt").repartition(tasks, "host", "dealt")
+    return dealt.groupBy("host", "dealt").applyInArrow(run, "page_id long, url string, text string, n_chars long")
