@@ -20,6 +20,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -145,28 +146,53 @@ def encoder_of(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def cut(ids: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of an id stream, by content alone: a gear hash over the last 32 ids marks where chunks may end."""
-    n = len(ids)
-    if n <= MIN_IDS:
-        return np.array([n]) if n else np.zeros(0, np.int64)
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places where chunks may end, by content alone: a gear hash over the last 32 ids."""
+    if not len(ids):
+        return np.zeros(0, np.int64)
     h = _GEAR[ids & 0xFFFF] ^ (ids.astype(np.uint64) >> np.uint64(16))
     step = 1
     while step < 32:  # h[i] = sum of gear[id[i - j]] << j for j < 32, by doubling
         shifted = h.copy()
         shifted[step:] += h[:-step] << np.uint64(step)
         h, step = shifted, step * 2
-    marks = np.flatnonzero((h >> np.uint64(64 - TARGET_BITS)) == 0) + 1
-    ends, last = [], 0
-    for m in [*marks.tolist(), n]:
+    return np.flatnonzero((h >> np.uint64(64 - TARGET_BITS)) == 0) + 1
+
+
+def ends(places: list[int], n: int) -> list[int]:
+    """Ends of the chunks of n ids that may end at some places; those before MIN_IDS do not count."""
+    if n <= MIN_IDS:
+        return [n] if n else []
+    out, last = [], 0
+    for m in [*places, n]:
         while m - last > MAX_IDS:
             last += MAX_IDS
-            ends.append(last)
+            out.append(last)
         if m - last >= MIN_IDS or m == n:
             if m > last:
-                ends.append(m)
+                out.append(m)
             last = m
-    return np.array(ends, np.int64)
+    return out
+
+
+def cut(ids: np.ndarray) -> np.ndarray:
+    """Ends of the chunks of an id stream."""
+    n = len(ids)
+    return np.array(ends([m for m in marks(ids).tolist() if m < n], n), np.int64)
+
+
+def cut_all(ids: np.ndarray, sizes: np.ndarray) -> list[list[int]]:
+    """Ends of the chunks of each of several id streams that stand one behind another.
+
+    One pass over all: the hash at a stream's place knows ids of the one before only within its first 31 places, where no
+    chunk ends (MIN_IDS).
+    """
+    stop = np.cumsum(sizes)
+    start = stop - sizes
+    places = marks(ids)
+    low, high = np.searchsorted(places, start, "right").tolist(), np.searchsorted(places, stop, "left").tolist()
+    spots = places.tolist()
+    return [ends([m - a for m in spots[x:y]], n) for a, n, x, y in zip(start.tolist(), sizes.tolist(), low, high, strict=True)]
 
 
 def digest(payload: bytes) -> bytes:
@@ -207,11 +233,13 @@ def write(documents: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id
             for part, _, _ in blocks(batch, "text", AT_ONCE):
                 rows: list[tuple] = []
                 new: list[tuple] = []
-                for who, payload in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
-                    payload += end
-                    ids = np.frombuffer(payload, encoder.width)
-                    own, last, size = [], 0, encoder.width.itemsize
-                    for stop in cut(ids).tolist():
+                payloads = [x + end for x in encoder.encode(part.column(1).to_pylist())]
+                size = encoder.width.itemsize
+                sizes = np.fromiter(map(len, payloads), np.int64, len(payloads)) // size
+                stops = cut_all(np.frombuffer(b"".join(payloads), encoder.width), sizes)
+                for who, payload, n_ids, own_stops in zip(part.column(0).to_pylist(), payloads, sizes.tolist(), stops, strict=True):
+                    own, last = [], 0
+                    for stop in own_stops:
                         chunk = payload[last * size : stop * size]
                         own.append(d := digest(chunk))
                         if d not in seen:
@@ -220,7 +248,7 @@ def write(documents: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id
                             seen.add(d)
                             new.append((d, stop - last, chunk))
                         last = stop
-                    rows.append((who, len(ids), b"".join(own), merkle(own)))
+                    rows.append((who, n_ids, b"".join(own), merkle(own)))
                 k = len(rows)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[j] for r in rows] + [None] * len(new), raw[j].type) for j in range(4)] + [pa.array([None] * k + [c[j] for c in new], raw[j + 4].type) for j in range(3)], schema=raw)
@@ -265,15 +293,12 @@ def _drop(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)  # noqa: SLF001
 
 
-def _shift(crc: int, n: int, known: dict) -> np.ndarray:
+def _shift(n: int, known: dict) -> list[int]:
     """Columns of the linear map that appends n zero bytes to a crc32."""
     if n not in known:
-        if n == 0:
-            known[n] = np.uint64(1) << np.arange(32, dtype=np.uint64)
-        else:
-            zeros = bytes(n)
-            base = zlib.crc32(zeros, 0)
-            known[n] = np.array([zlib.crc32(zeros, 1 << i) ^ base for i in range(32)], np.uint64)
+        zeros = bytes(n)
+        base = zlib.crc32(zeros, 0)
+        known[n] = [zlib.crc32(zeros, 1 << i) ^ base for i in range(32)]
     return known[n]
 
 
@@ -282,9 +307,14 @@ def crc32_join(parts: list[tuple[int, int]], known: dict | None = None) -> int:
     known = {} if known is None else known
     out = 0
     for crc, n in parts:
-        columns = _shift(out, n, known)
-        bits = (out >> np.arange(32)) & 1
-        out = int(np.bitwise_xor.reduce(columns[bits.astype(bool)], initial=np.uint64(0))) ^ crc
+        if out:
+            moved = 0
+            for column in _shift(n, known):
+                if out & 1:
+                    moved ^= column
+                out >>= 1
+            out = moved
+        out ^= crc
     return out
 
 
@@ -324,14 +354,17 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     def combine(batches):
         known: dict = {}
         for b in batches:
-            t = pa.Table.from_batches([b]).to_pylist()
-            out = []
-            for r in t:
-                parts = r["parts"] or []
-                whole = all(p["n"] is not None and p["n"] > 0 for p in parts)
-                out.append((r["doc_id"], r["start"], r["n_tokens"], crc32_join([(p["crc"], 4 * p["n"]) for p in parts], known) if whole else None, len(parts),
-                            whole and r["shard_whole"] and sum(p["n"] for p in parts) == r["n_tokens"] and merkle([p["digest"] for p in parts]) == r["root"]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["doc_id", "start", "n_tokens", "ids_crc32", "n_chunks", "verified"])
+            parts = b.column("parts")
+            at = [0, *np.cumsum(pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False)).tolist()]
+            flat = parts.flatten()  # one array a field, not one object a chunk
+            n, crc, own = (flat.field(i).to_pylist() for i in (1, 2, 3))
+            crcs, verified = [], []
+            for i, (tokens, root, fine) in enumerate(zip(*(b.column(c).to_pylist() for c in ("n_tokens", "root", "shard_whole")), strict=True)):
+                x, y = at[i], at[i + 1]
+                there = all(k is not None and k > 0 for k in n[x:y])
+                crcs.append(crc32_join([(c, 4 * k) for c, k in zip(crc[x:y], n[x:y], strict=True)], known) if there else None)
+                verified.append(there and fine and sum(n[x:y]) == tokens and merkle(own[x:y]) == root)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(crcs, pa.int64()), pa.array(np.diff(at).astype(np.int64)), pa.array(verified, pa.bool_())], names=["doc_id", "start", "n_tokens", "ids_crc32", "n_chunks", "verified"])
 
     whole = placed.join(shards, "shard").join(joined, ["shard", "row"], "left").select("doc_id", (F.col("shard_start") + F.coalesce("before", F.lit(0))).alias("start"), "n_tokens", "root", "shard_whole", "parts")
     return whole.mapInArrow(combine, "doc_id long, start long, n_tokens long, ids_crc32 long, n_chunks long, verified boolean")

@@ -629,6 +629,14 @@ def test_unigram_pieces(with_bytes, tmp_path):
             assert own.encode(t) == lib.encode(t), t
 
 
+def test_streams_are_cut_alike_alone_and_together():
+    g = np.random.default_rng(2)
+    sizes = np.array([0, 1, 63, 64, 65, 500, 0, 5000, 9000, 64, 129])
+    ids = g.integers(0, 50_000, int(sizes.sum())).astype(np.uint16)
+    stop = np.cumsum(sizes)
+    assert tokenstore.cut_all(ids, sizes) == [tokenstore.cut(ids[b - n : b]).tolist() for n, b in zip(sizes.tolist(), stop.tolist(), strict=True)]
+
+
 def test_other_tokenizers_encode_whole_texts():
     """Only a file that says that words stand alone is read word by word; ids are the library's for any."""
     from tokenizers import Tokenizer
