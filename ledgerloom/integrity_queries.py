@@ -197,7 +197,7 @@ WHERE fam = 'ECONOMY' AND k % 11 <> 0 AND (k % 13 = 0 OR k % 4 IN (1, 2) OR k %
 def _(spark, sf_dir):
     ledger = L.star(spark, sf_dir)
     k = F.substring("entity_id", 3, 20).cast("long")
-    price = ledger.observations.where("metric_id = 'part.retail_price' and evidence_ids is not null").join(ledger.products.where("product_family = 'ECONOMY'"), "entity_id")
+    price = ledger.observations.where("metric_id = 'part.retail_price' and evidence_ids is not null").join(L.sorted_by_key(ledger.products).where("product_family = 'ECONOMY'"), "entity_id")
     value = F.col("numeric_value").cast("string")
     rows = price.select("entity_id", F.when(k % 4 == 1, "other").otherwise(F.col("product_name")).alias("product_name"), F.lit("price").alias("concept"), F.when(k % 4 == 2, "0").otherwise(value).alias("value"))
     facts = price.where(k % 13 != 0).select("entity_id", F.col("product_name").alias("canonical_name"), F.lit("price").alias("concept"), value.alias("value"), F.explode("evidence_ids").alias("evidence_id"), F.when(F.col("proven"), "eligible").otherwise("late").alias("cutoff_status"), "applicable_date")

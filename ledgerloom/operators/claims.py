@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.errors import Refused
+from ..sources.ledger import sorted_by_key
 from ..sources.sinks import record_hash
 
 
@@ -16,7 +17,7 @@ def claims_of(rows: DataFrame, evidence: DataFrame) -> DataFrame:
     bundle is no claim.  claim_id is the content's hash, so that equal claims of two runs have one id.
     """
     each = rows.where("value is not null").select("task_id", "entity_id", "concept", "value", F.explode("evidence_ids").alias("evidence_id"))
-    kept = each.join(evidence.select("evidence_id").distinct(), "evidence_id", "left_semi")
+    kept = each.join(sorted_by_key(evidence.select("evidence_id").distinct()), "evidence_id", "left_semi")
     grouped = kept.groupBy("task_id", "entity_id", "concept", "value").agg(F.array_sort(F.collect_set("evidence_id")).alias("evidence_ids"))
     return grouped.withColumn("claim_id", F.concat(F.lit("claim-"), F.substring(record_hash(["task_id", "entity_id", "concept", "value", "evidence_ids"]), 1, 24)))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans.errors import Refused
+from ..sources.ledger import sorted_by_key
 from .dataflow import with_total
 
 MOST = {"rank_return": 5, "holding_weight": 5, "document_risk": 3}
@@ -31,7 +32,7 @@ def name_contains(df: DataFrame, name: str, keyword: str) -> DataFrame:
 def rank_return(products: DataFrame, observations: DataFrame, keyword: str, day: Column, limit: int) -> DataFrame:
     """Products whose name holds the keyword, by their value of that day, the highest first; matched_products counts them all."""
     check("rank_return", keyword, limit)
-    found = name_contains(products, "product_name", keyword).join(observations.where(F.col("value_status").isin("present", "zero") & (F.col("applicable_date") == day)), "entity_id")
+    found = name_contains(products, "product_name", keyword).join(sorted_by_key(observations).where(F.col("value_status").isin("present", "zero") & (F.col("applicable_date") == day)), "entity_id")
     rows = found.select("entity_id", "product_name", "observation_id", "numeric_value", "unit", "value_status", "applicable_date")
     return with_total(rows, "matched_products").orderBy(F.desc("numeric_value"), "entity_id").limit(limit)
 
@@ -44,7 +45,7 @@ def holding_weight(products: DataFrame, holdings: DataFrame, names: DataFrame, k
     """
     check("holding_weight", keyword, limit)
     held = names.where(F.replace("holding_name", F.lit(" "), F.lit("")) == keyword.replace(" ", ""))
-    rows = holdings.join(held, "object_id").join(products.withColumnRenamed("entity_id", "subject_id"), "subject_id")
+    rows = holdings.join(held, "object_id").join(sorted_by_key(products).withColumnRenamed("entity_id", "subject_id"), "subject_id")
     total = rows.agg(F.count("*").alias("matched_products"), F.count("weight").alias("products_with_known_weight"))
     out = rows.crossJoin(F.broadcast(total)).withColumn("ranked", F.col("matched_products") == F.col("products_with_known_weight"))  # one row
     return out.orderBy(F.desc_nulls_last("weight"), "product_name", "subject_id").limit(limit)
@@ -90,12 +91,12 @@ def missing_sections(documents: DataFrame, sections: DataFrame, wanted: tuple[st
 def holdings_per_product(products: DataFrame, relations: DataFrame, predicate: str, limit: int = 15) -> DataFrame:
     """Products with edges of a predicate and how many; a product that is not listed has none in this sample."""
     n = relations.where(F.col("predicate_id") == predicate).groupBy(F.col("subject_id").alias("entity_id")).agg(F.count("*").alias("holdings"))
-    return products.join(n, "entity_id").orderBy("product_family", "product_name", "entity_id").limit(limit)
+    return products.join(sorted_by_key(n), "entity_id").orderBy("product_family", "product_name", "entity_id").limit(limit)
 
 
 def observed_with_locators(products: DataFrame, observations: DataFrame, evidence: DataFrame, keyword: str, limit: int = 10) -> DataFrame:
     """Values of products whose name holds the keyword, each beside its evidence and source."""
-    rows = name_contains(products, "product_name", keyword).join(observations, "entity_id").join(evidence.select("observation_id", "evidence_id", "source_id"), "observation_id")
+    rows = name_contains(products, "product_name", keyword).join(sorted_by_key(observations), "entity_id").join(sorted_by_key(evidence).select("observation_id", "evidence_id", "source_id"), "observation_id")
     return rows.orderBy("entity_id", "metric_id", "evidence_id").limit(limit)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.errors import Refused
+from ..sources.ledger import sorted_by_key
 
 
 def subtype_mismatches(entities: DataFrame, subtypes: dict[str, DataFrame]) -> DataFrame:
@@ -98,7 +99,7 @@ def row_violations(rows: DataFrame, facts: DataFrame, cutoff: Column) -> DataFra
     that is eligible and a day that is not after the cutoff, under the same name.
     """
     fine = (F.col("cutoff_status") == "eligible") & F.col("evidence_id").isNotNull() & (F.col("applicable_date").isNull() | (F.col("applicable_date") <= cutoff))
-    near = rows.alias("r").join(facts.alias("f"), ["entity_id", "concept"], "left")
+    near = rows.alias("r").join(sorted_by_key(facts).alias("f"), ["entity_id", "concept"], "left")
     same_name, same_value = F.col("r.product_name").eqNullSafe(F.col("f.canonical_name")), F.col("r.value").eqNullSafe(F.col("f.value"))
     # how far the best fact comes: 4 holds in all, less breaks at the name, the value, the evidence
     rank = F.when(F.col("f.canonical_name").isNull(), 0).when(~same_name, 1).when(~same_value, 2).when(~F.coalesce(fine, F.lit(False)), 3).otherwise(4)
