@@ -37,6 +37,11 @@ def rank_return(products: DataFrame, observations: DataFrame, keyword: str, day:
     return with_total(rows, "matched_products").orderBy(F.desc("numeric_value"), "entity_id").limit(limit)
 
 
+def called(names: DataFrame, keyword: str) -> DataFrame:
+    """names whose holding_name is the keyword, spaces aside."""
+    return names.where(F.replace("holding_name", F.lit(" "), F.lit("")) == keyword.replace(" ", ""))
+
+
 def holding_weight(products: DataFrame, holdings: DataFrame, names: DataFrame, keyword: str, limit: int) -> DataFrame:
     """Holders of what has that name (spaces aside), by weight, unknown weights last.
 
@@ -44,8 +49,7 @@ def holding_weight(products: DataFrame, holdings: DataFrame, names: DataFrame, k
     products_with_known_weight below matched_products says that the order of the whole is not known: ranked is false.
     """
     check("holding_weight", keyword, limit)
-    held = names.where(F.replace("holding_name", F.lit(" "), F.lit("")) == keyword.replace(" ", ""))
-    rows = holdings.join(held, "object_id").join(sorted_by_key(products).withColumnRenamed("entity_id", "subject_id"), "subject_id")
+    rows = holdings.join(called(names, keyword), "object_id").join(sorted_by_key(products).withColumnRenamed("entity_id", "subject_id"), "subject_id")
     total = rows.agg(F.count("*").alias("matched_products"), F.count("weight").alias("products_with_known_weight"))
     out = rows.crossJoin(F.broadcast(total)).withColumn("ranked", F.col("matched_products") == F.col("products_with_known_weight"))  # one row
     return out.orderBy(F.desc_nulls_last("weight"), "product_name", "subject_id").limit(limit)

@@ -23,6 +23,11 @@ def _broadcasts(df: DataFrame) -> int:
     return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")  # noqa: SLF001
 
 
+def test_weights_are_summed_for_the_asked_name_only(spark, sf_dir):
+    plan = QUERIES["holding_weight"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()  # noqa: SLF001
+    assert plan.index("LeftSemi") > plan.index("sum(l_quantity")
+
+
 def test_storing_broadcasts_nothing(trusting, sf_dir, monkeypatch):
     from pyspark.sql.readwriter import DataFrameWriter
 
