@@ -74,7 +74,7 @@ def test_queries_broadcast_nothing(trusting, sf_dir, name):
     assert _broadcasts(QUERIES[name](trusting, sf_dir)) == (name == "rank_return")  # its one-row total
 
 
-@pytest.mark.parametrize("name", ["agg_lineage_rows", "agg_max_group"])
+@pytest.mark.parametrize("name", ["agg_lineage_rows", "agg_max_group", "agg_min_group"])
 def test_joined_partitions_stay_apart(spark, sf_dir, name):
     # several sorts of a task share its memory; of partitions put together they spill page by page
     df = QUERIES[name](spark, sf_dir)
